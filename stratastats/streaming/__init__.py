@@ -1,0 +1,5 @@
+"""No streaming operators: the analysis this library covers is batch only.
+
+The expressions in ``stratastats.functions`` are row-wise, so they also work on a
+streaming DataFrame; medians, ranks and top-n need the whole table.
+"""
