@@ -10,9 +10,9 @@ from .columns import ColumnLike, as_column
 
 
 def parse_dates(df: DataFrame, columns: Iterable[str], strict: bool = True) -> DataFrame:
-    """Parse text columns to timestamps; ``strict=False`` turns bad text into null."""
+    """Parse text columns to zone-free timestamps; ``strict=False`` turns bad text into null."""
     parse = F.to_timestamp if strict else F.try_to_timestamp
-    return df.withColumns({c: parse(F.col(c)) for c in columns})
+    return df.withColumns({c: parse(F.col(c)).cast("timestamp_ntz") for c in columns})
 
 
 def cast_string(c: ColumnLike, numeric: bool = False) -> Column:

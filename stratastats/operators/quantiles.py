@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import nan_as_null
+from .aggregates import carry_first
 from .splits import find_splits, with_range
 
 SMALL_GROUP_ROWS = 2_000_000
@@ -19,6 +20,7 @@ def grouped_percentiles(
     value: str,
     probs: Sequence[float],
     small_group_rows: int = SMALL_GROUP_ROWS,
+    carry: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """``by`` columns, ``n`` and ``percentiles`` (interpolated, one per probability).
 
@@ -26,21 +28,29 @@ def grouped_percentiles(
     suits groups of up to ``small_group_rows``. Larger groups, found by a count
     first, go through value ranges instead, where a task sees one range of one
     group. Null keys are dropped; a group without values has null percentiles.
+    ``carry`` maps an output name to an attribute that depends on the key.
     """
-    by, probs = list(by), [float(p) for p in probs]
-    rows = df.dropna(subset=by).select(*by, nan_as_null(value).alias("_v"))
+    by, probs, carry = list(by), [float(p) for p in probs], dict(carry or {})
+    rows = df.dropna(subset=by).select(
+        *by, nan_as_null(value).alias("_v"), *[F.col(c).alias(f"_c_{o}") for o, c in carry.items()]
+    )
+    carried = [carry_first(f"_c_{o}", o) for o in carry]
     sizes = rows.groupBy(*by).agg(F.count("_v").alias("n"))
     large = F.col("n") > small_group_rows
     found = sizes.agg(F.count_if(large).alias("large"), F.count("*").alias("all")).first()
     if not found.large:
-        return _small(rows, by, probs)
+        return _small(rows, by, probs, carried)
     large_keys = sizes.where(large).select(*by)
     if found.large <= BROADCAST_ROWS:
         large_keys = F.broadcast(large_keys)
-    in_ranges = _by_ranges(rows.join(large_keys, by, "left_semi"), by, probs, found.large)
+    large_rows = rows.join(large_keys, by, "left_semi")
+    in_ranges = _by_ranges(large_rows, by, probs, found.large)
+    if carried:
+        in_ranges = in_ranges.join(large_rows.groupBy(*by).agg(*carried), by)
     if found.large == found.all:
         return in_ranges
-    return _small(rows.join(large_keys, by, "left_anti"), by, probs).unionByName(in_ranges)
+    small_rows = rows.join(large_keys, by, "left_anti")
+    return _small(small_rows, by, probs, carried).unionByName(in_ranges)
 
 
 def grouped_median(
@@ -49,14 +59,15 @@ def grouped_median(
     value: str,
     out: str,
     small_group_rows: int = SMALL_GROUP_ROWS,
+    carry: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    p = grouped_percentiles(df, by, value, [0.5], small_group_rows)
-    return p.select(*by, F.element_at("percentiles", 1).alias(out))
+    p = grouped_percentiles(df, by, value, [0.5], small_group_rows, carry)
+    return p.select(*by, F.element_at("percentiles", 1).alias(out), *(carry or {}))
 
 
-def _small(rows: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+def _small(rows: DataFrame, by: list[str], probs: list[float], carried: list) -> DataFrame:
     return rows.groupBy(*by).agg(
-        F.count("_v").alias("n"), F.percentile("_v", probs).alias("percentiles")
+        F.count("_v").alias("n"), F.percentile("_v", probs).alias("percentiles"), *carried
     )
 
 

@@ -50,15 +50,12 @@ def clean_prices(
     rows = rows.withColumn("price", nan_as_null("price")).dropna(subset=["price"])
     rows = rows.where(not_equal("parent_name", excluded_parent)).dropna(subset=by)
 
-    median = grouped_median(rows, by, "price", "price", small_group_rows)
+    carry = {"price_code": "parent_code"}
+    if level == "child":
+        carry["parent_name"] = "parent_name"
+    median = grouped_median(rows, by, "price", "price", small_group_rows, carry)
     median = median.withColumn("price", round_significant("price", digits))
-    if level == "parent":
-        carried = rows.groupBy(*by).agg(carry_first("parent_code", "price_code"))
-        return median.join(carried, by)
-    carried = rows.groupBy(*by).agg(
-        carry_first("parent_name"), carry_first("parent_code", "price_code")
-    )
-    return median.join(carried, by).withColumnRenamed("region_label", "price_label")
+    return median.withColumnsRenamed({"region_label": "price_label"})
 
 
 def clean_attributes(

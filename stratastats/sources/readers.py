@@ -34,33 +34,29 @@ def _drop_leading_lines(count: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         path, seen = None, 0
         for batch in batches:
+            value, paths, blocks = (batch[i] for i in range(3))
             start = 0
             while start < batch.num_rows:
-                here = batch["file_path"][start].as_py()
-                if here != path:
-                    path, seen = here, 0
-                run_length = _run_length(batch["file_path"], start)
-                skip = 0
-                if batch["file_block_start"][start].as_py() == 0:
-                    skip = min(max(count - seen, 0), run_length)
-                seen += run_length
-                if run_length > skip:
-                    piece = batch["value"].slice(start + skip, run_length - skip)
-                    yield pa.RecordBatch.from_arrays([piece], names=["value"])
-                start += run_length
+                same = pc.equal(paths.slice(start), paths[start])
+                length = pc.index(same, False).as_py()
+                length = len(same) if length < 0 else length
+                if paths[start].as_py() != path:
+                    path, seen = paths[start].as_py(), 0
+                skip = max(count - seen, 0) if blocks[start].as_py() == 0 else 0
+                rest = value.slice(start, length).slice(skip)
+                if len(rest):
+                    yield pa.RecordBatch.from_arrays([rest], names=["value"])
+                seen += length
+                start += length
 
     return run
 
 
-def _run_length(paths: pa.Array, start: int) -> int:
-    """Length of the run of equal paths that begins at ``start``."""
-    rest = paths.slice(start)
-    ends = pa.compute.index(pa.compute.equal(rest, rest[0]), False).as_py()
-    return len(rest) if ends < 0 else ends
-
-
 def read_preamble_table(
     spark: SparkSession,
     path: str,
