@@ -68,6 +68,20 @@ def format_label(name: ColumnLike, value: ColumnLike, unit: str) -> Column:
 
 
 def scientific_label(value: ColumnLike) -> Column:
-    """One-decimal scientific notation, null for null."""
+    """One-decimal scientific notation, exact ties to the even digit, null for null.
+
+    ``format_string`` rounds ties up. A tie needs two digits and a half, and such a
+    double has at most ten fractional bits.
+    """
     value = as_column(value)
-    return F.when(value.isNotNull(), F.format_string("%.1e", value))
+    size = F.abs(value)
+    exponent = F.floor(F.log10(size))
+    digits = F.when(
+        exponent > 1, size / F.pow(F.lit(10.0), exponent - 1)
+    ).otherwise(size * F.pow(F.lit(10.0), 1 - exponent))
+    exact = size * 1024 == F.floor(size * 1024)
+    round_down = exact & (digits % 2 == 0.5)
+    return F.when(
+        value.isNotNull(),
+        F.format_string("%.1e", F.when(round_down, value * (1 - 1e-9)).otherwise(value)),
+    )

@@ -51,19 +51,19 @@ def spearman(
         for c in needed:
             complete = complete & F.col(c).isNotNull()
         for c in dict.fromkeys(itertools.chain(*members)):
+            slot = F.struct(F.lit(len(names)).alias("_slot"), F.col(c).alias("_value"))
+            cells.append(F.when(complete, slot))
             names[number, c] = f"r{len(names)}"
-            cells.append(
-                F.when(
-                    complete,
-                    F.struct(F.lit(names[number, c]).alias("_slot"), F.col(c).alias("_value")),
-                )
-            )
     # A slot is one column on one set of complete rows.
     long = slim.select(*key, *by, F.inline(F.array_compact(F.array(*cells))))
-    ranked = average_rank(long, "_value", [*key, "_slot"], [*by, "_slot"], "_rank", parts)
-    slots = list(names.values())
+    ranked = average_rank(
+        long, "_value", [*key, "_slot"], [*by, "_slot"], "_rank", parts, keep_nulls=False
+    )
     wide = ranked.groupBy(*by, *key).agg(
-        *[F.max(F.when(F.col("_slot") == s, F.col("_rank"))).alias(s) for s in slots]
+        *[
+            F.max(F.when(F.col("_slot") == i, F.col("_rank"))).alias(r)
+            for i, r in enumerate(names.values())
+        ]
     )
 
     rows = []

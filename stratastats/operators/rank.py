@@ -19,8 +19,9 @@ def average_rank(
     by: Sequence[str] = (),
     out: str = "avg_rank",
     parts: int | None = None,
+    keep_nulls: bool = True,
 ) -> DataFrame:
-    """Rank ``value`` within each ``by`` group (or over everything), nulls unranked.
+    """Rank ``value`` within each ``by`` group (or over everything); nulls get no rank.
 
     Rows are shuffled once, by (group, value range), whatever the size of a group;
     a frequent value fills its own range, has a closed-form rank and is spread by
@@ -61,5 +62,7 @@ def average_rank(
     ranked = placed.join(below, [*by, "_range"]).select(
         *df.columns, (F.col("_below") + inside).cast("double").alias(out)
     )
+    if not keep_nulls:
+        return ranked
     unranked = rows.where("_v is null").select(*df.columns, F.lit(None).cast("double").alias(out))
     return ranked.unionByName(unranked)

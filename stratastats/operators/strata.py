@@ -61,12 +61,19 @@ def nominal_drift(
     baseline covers rows without a stratum too, and both come from one aggregation
     of the data.
     """
+    # A second grouping set adds the strata up to the baseline, on one row per stratum
+    # and class; the windows below run over those few rows.
     sums = _class_means(df, [stratum], cls, terms)
-    overall = sums.groupBy(cls).agg(F.sum("_num").alias("_num"), F.sum("_den").alias("_den"))
-    baseline = _share(overall, [], cls, excluded).withColumnRenamed("share", "_base")
-    shares = _share(sums.dropna(subset=[stratum]), [stratum], cls, excluded)
-    return shares.join(baseline, cls).select(
-        stratum, cls, ((F.col("_base") - F.col("share")) * sign).alias("drift")
+    both = sums.groupingSets([[stratum, cls], [cls]], stratum, cls).agg(
+        F.sum("_num").alias("_num"), F.sum("_den").alias("_den"),
+        (F.grouping(stratum) == 1).alias("_overall"),
+    )
+    shares = _share(both, ["_overall", stratum], cls, excluded)
+    baseline = F.max(F.when(F.col("_overall"), F.col("share"))).over(Window.partitionBy(cls))
+    return (
+        shares.withColumn("drift", (baseline - F.col("share")) * sign)
+        .where(~F.col("_overall") & F.col(stratum).isNotNull())
+        .select(stratum, cls, "drift")
     )
 
 

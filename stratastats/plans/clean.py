@@ -74,9 +74,9 @@ def clean_attributes(
     by default they stay, as in the analysis this follows.
     """
     level = parse_level(level)
-    numeric = dict(df.dtypes)["area_id"] != "string"
+    child_id = zero_pad(cast_string("area_id", dict(df.dtypes)["area_id"] != "string"), id_width)
     rows = df.select(
-        zero_pad(cast_string("area_id", numeric), id_width).alias("attr_child_id"),
+        "area_id",
         "area_name",
         F.col("parent_code").alias("attr_code"),
         *[nan_as_null(c).alias(c) for c in ("weight", "income", "rate")],
@@ -85,19 +85,22 @@ def clean_attributes(
     rows = rows.where(not_in("attr_code", excluded_codes))
     if drop_parent_totals is not None:
         rows = rows.where(~drop_parent_totals)
-    rows = rows.withColumn("attr_parent_id", id_prefix("attr_child_id", parent_width))
-    if level == "child":
-        return rows
-    return (
-        rows.dropna(subset=["attr_code"])
-        .groupBy("attr_code")
-        .agg(
-            carry_first("attr_child_id"),
-            carry_first("attr_parent_id"),
-            weighted_avg("income", "weight").alias("income"),
-            weighted_avg("rate", "weight").alias("rate"),
-            F.sum("weight").alias("weight"),
+    if level == "parent":
+        # The smallest id stands for its parent; as a number it needs no sort to find.
+        rows = (
+            rows.dropna(subset=["attr_code"])
+            .groupBy("attr_code")
+            .agg(
+                carry_first("area_id"),
+                weighted_avg("income", "weight").alias("income"),
+                weighted_avg("rate", "weight").alias("rate"),
+                F.sum("weight").alias("weight"),
+            )
         )
+    return rows.select(
+        child_id.alias("attr_child_id"),
+        id_prefix(child_id, parent_width).alias("attr_parent_id"),
+        *[c for c in rows.columns if c != "area_id"],
     )
 
 

@@ -11,6 +11,7 @@ from ..operators.correlation import spearman
 from ..operators.extremes import extremes
 from ..operators.reshape import union_all
 from ..operators.strata import nominal_drift, sort_custom_order
+from ..sources.scratch import written
 from . import presets
 
 
@@ -28,10 +29,14 @@ def with_ratios(merged: DataFrame, scale: float = presets.POUNDS_PER_TON) -> Dat
 
 def ratio_extremes(
     merged: DataFrame, key: Sequence[str], n: int = 5,
-    ratios: Sequence[str] = ("income_ratio", "price_ratio"),
+    ratios: Sequence[str] = ("income_ratio", "price_ratio"), stored: bool = False,
 ) -> DataFrame:
-    """Places with the largest and the smallest ratios, one block per ratio."""
-    rated = with_ratios(merged)
+    """Places with the largest and the smallest ratios, one block per ratio.
+
+    The merged frame has one row per place and is read four times, so it is stored
+    first unless ``stored`` says that it already is.
+    """
+    rated = with_ratios(merged if stored else written(merged, "merged"))
     return union_all(
         [
             extremes(rated.withColumn("ratio", F.col(r)), "ratio", key, n).withColumn(

@@ -41,10 +41,11 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation")
     part = table(spark, folder, "part")
     return (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        # Parts first: a filter on the category path then thins out the later shuffles.
+        lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             zero_pad(F.col("c_nationkey").cast("string"), 2).alias("parent_id"),
             F.col("n_name").alias("parent_code"),
