@@ -8,9 +8,12 @@ from .columns import ColumnLike, as_column
 
 
 def nan_as_null(c: ColumnLike) -> Column:
-    """Double with NaN turned to null; Spark would sort NaN above every number."""
+    """Double with NaN turned to null and negative zero to zero.
+
+    Spark would sort NaN above every number and rank -0.0 below 0.0.
+    """
     c = as_column(c).cast("double")
-    return F.when(~F.isnan(c), c)
+    return F.when(~F.isnan(c), c + F.lit(0.0))
 
 
 def rate_per_weight(amount: ColumnLike, weight: ColumnLike, scale: float = 2000.0) -> Column:
