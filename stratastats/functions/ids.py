@@ -45,7 +45,7 @@ def region_label(name: ColumnLike, code: ColumnLike, infix: str = " County, ") -
 
 
 def first_token(c: ColumnLike, sep: str = " - ") -> Column:
-    return F.split_part(as_column(c), F.lit(sep), F.lit(1))
+    return F.substring_index(as_column(c), sep, 1)
 
 
 def map_or_self(c: ColumnLike, mapping: Mapping[str, str]) -> Column:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import format_label, minmax, round_trunc_int, scale_units
+from ..sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -35,8 +36,14 @@ def metric_metadata(column: str, metrics: Mapping[str, Metric] = METRICS) -> Met
         raise ValueError(f"no metric is declared for column {column!r}") from None
 
 
-def minmax_normalise(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Scale a column to [0, 1]; null when all values are equal."""
+def minmax_normalise(
+    df: DataFrame, column: str, out: str, stored: bool = False
+) -> DataFrame:
+    """Scale a column to [0, 1]; null when all values are equal.
+
+    The extent takes a first pass, so the frame is stored unless it already is.
+    """
+    df = df if stored else written(df, "minmax")
     extent = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
     return (
         df.withColumn("_extent", extent)

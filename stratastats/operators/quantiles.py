@@ -10,7 +10,7 @@ from ..functions import nan_as_null
 from .aggregates import carry_first
 from .splits import find_splits, with_range
 
-SMALL_GROUP_ROWS = 2_000_000
+SMALL_GROUP_ROWS = 100_000
 BROADCAST_ROWS = 200_000
 
 

@@ -84,8 +84,12 @@ def drift_domain(drift: DataFrame, by: Sequence[str] = (), stretch: float = 1.2)
 
 
 def with_drift_flags(drift: DataFrame, share: float = 0.02) -> DataFrame:
-    """Add the sign and whether a value is too close to zero for the shared axis."""
-    widest = drift.agg(F.greatest(F.abs(F.min("drift")), F.abs(F.max("drift")))).scalar()
+    """Add the sign and whether a value is too close to zero for the shared axis.
+
+    The table has one row per stratum and class; one window over it spares
+    computing it twice.
+    """
+    widest = F.max(F.abs("drift")).over(Window.partitionBy(F.lit(0)))
     return drift.withColumns(
         {"flag": sign_flag("drift"), "near_zero": near_zero_flag("drift", widest, share)}
     )

@@ -8,8 +8,10 @@ from .pipelines import (
     ratio_extremes,
     with_ratios,
 )
+from .study import Study
 
 __all__ = [
+    "Study",
     "bucket_drift",
     "class_drift",
     "clean_attributes",

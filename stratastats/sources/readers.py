@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .layout import PUBLISHED, Layout
+
 
 def read_json_records(
     spark: SparkSession, path: str, schema: StructType | str, array: bool = False
@@ -21,9 +23,16 @@ def read_json_records(
     return spark.read.schema(schema).option("multiLine", array).json(path)
 
 
-def read_tsv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Tab-separated text with a header line, columns in the order of ``schema``."""
-    return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
+def read_tsv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Tab-separated text with a header line.
+
+    ``columns`` maps the wanted header names to Spark types; the others are not parsed.
+    """
+    text = spark.read.option("sep", "\t").option("header", True).csv(path)
+    missing = sorted(set(columns) - set(text.columns))
+    if missing:
+        raise ValueError(f"columns not in the header: {missing}")
+    return text.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 
 def _drop_leading_lines(count: int):
@@ -91,7 +100,7 @@ def read_preamble_table(
 
 @dataclass(frozen=True)
 class Sources:
-    """The three inputs of the analysis, read lazily."""
+    """The three inputs of the analysis in canonical columns, read lazily."""
 
     facts: DataFrame
     attributes: DataFrame
@@ -104,16 +113,17 @@ class Sources:
         facts_path: str,
         attributes_path: str,
         prices_path: str,
-        facts_schema: StructType | str,
-        attribute_columns: dict[str, str],
-        price_schema: StructType | str,
         facts_array: bool = True,
         preamble_lines: int = 4,
+        layout: Layout = PUBLISHED,
     ) -> "Sources":
+        facts = read_json_records(spark, facts_path, layout.facts.ddl(), array=facts_array)
+        attributes = read_preamble_table(
+            spark, attributes_path, layout.attributes.types(), preamble_lines
+        )
+        prices = read_tsv(spark, prices_path, layout.prices.types())
         return cls(
-            facts=read_json_records(spark, facts_path, facts_schema, array=facts_array),
-            attributes=read_preamble_table(
-                spark, attributes_path, attribute_columns, preamble_lines
-            ),
-            prices=read_tsv(spark, prices_path, price_schema),
+            layout.facts.canonical(facts),
+            layout.attributes.canonical(attributes),
+            layout.prices.canonical(prices),
         )

@@ -84,7 +84,7 @@ def include_list(spark, folder):
 def filter_any_substring(spark, folder):
     rows = t.facts(spark, folder).where(contains_any("sector_path", t.CONTRIBUTORS["residential"]))
     return rows.groupBy("sector_path").agg(
-        F.count("*").alias("row_count"), F.sum("amount").cast("double").alias("amount")
+        F.count("*").alias("row_count"), F.round(F.sum("amount"), 2).alias("amount")
     )
 
 

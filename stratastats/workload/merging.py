@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rate_per_weight
 from ..operators import inner_join, map_table, merge_coverage, union_all
+from ..sources import written
 from . import tables as t
 from .registry import query, rounded
 
@@ -187,7 +188,7 @@ def _map_sql(column: str, expression: str, unit: str, label: str) -> str:
     ),
 )
 def map_table_(spark, folder):
-    two = _two_source(spark, folder)
+    two = written(_two_source(spark, folder), "two_source")
     maps = [
         map_table(two, c, "parent_code").withColumn("metric", F.lit(c))
         for c in ("amount_per_person", "amount", "weight", "income", "rate")

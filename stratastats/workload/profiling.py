@@ -12,8 +12,17 @@ from ..operators import (
     null_profile,
     sample_n,
     schema_profile,
+    union_all,
+)
+from ..sources import (
+    Layout,
+    Sources,
+    Table,
+    read_json_records,
+    read_preamble_table,
+    read_tsv,
+    scratch_path,
 )
-from ..sources import Sources, read_json_records, read_preamble_table, read_tsv, scratch_path
 from . import tables as t
 from .registry import query, rounded, table
 
@@ -58,7 +67,8 @@ def _as_tsv(spark, folder) -> str:
 
 
 JSON_SCHEMA = "child_part_id string, c_name string, amount double"
-TSV_SCHEMA = "period_begin date, region_type string, o_orderkey bigint, price double"
+TSV_COLUMNS = {"period_begin": "date", "region_type": "string", "o_orderkey": "bigint",
+               "price": "double"}
 PREAMBLE_COLUMNS = {"area_id": "string", "income": "double", "code": "int"}
 
 
@@ -86,35 +96,43 @@ def scan_preamble(spark, folder):
     "case when o_orderpriority <> '5-LOW' then o_totalprice end as price from orders",
 )
 def scan_tsv(spark, folder):
-    return read_tsv(spark, _as_tsv(spark, folder), TSV_SCHEMA)
+    return read_tsv(spark, _as_tsv(spark, folder), TSV_COLUMNS)
+
+
+LAYOUT = Layout(
+    facts=Table({"child_part_id": ("child_part_id", "string", "string"),
+                 "amount": ("amount", "double", "double")}),
+    attributes=Table({"area_id": ("area_id", "string", "string"),
+                      "income": ("income", "double", "double"),
+                      "code": ("stratum_code", "double", "int")}),
+    prices=Table({"period_begin": ("period_begin", "timestamp_ntz", "date"),
+                  "region_type": ("region_type", "string", "string"),
+                  "price": ("price", "double", "double")}),
+)
 
 
 @query(
     "load_sources",
     """
-    select 'facts' as source, count(*) as row_count, count(c_acctbal) as measured from customer
-    union all select 'attributes', count(*), count(c_acctbal) from customer
+    select 'facts' as source, count(*) as row_count, round(sum(c_acctbal), 2) as total from customer
+    union all select 'attributes', count(*), round(sum(c_nationkey), 2) from customer
     union all select 'prices', count(*),
-      count(case when o_orderpriority <> '5-LOW' then o_totalprice end) from orders""",
+      round(sum(case when o_orderpriority <> '5-LOW' then o_totalprice end), 2) from orders""",
 )
 def load_sources(spark, folder):
     s = Sources.load(
         spark, _as_json(spark, folder), _as_preamble_exports(spark, folder), _as_tsv(spark, folder),
-        JSON_SCHEMA, PREAMBLE_COLUMNS, TSV_SCHEMA, facts_array=False,
+        facts_array=False, layout=LAYOUT,
     )
     counted = [
         df.agg(F.lit(name).alias("source"), F.count("*").alias("row_count"),
-               F.count(measure).alias("measured"))
+               F.round(F.sum(measure).cast("double"), 2).alias("total"))
         for name, df, measure in [
-            ("facts", s.facts, "amount"), ("attributes", s.attributes, "income"),
+            ("facts", s.facts, "amount"), ("attributes", s.attributes, "stratum_code"),
             ("prices", s.prices, "price"),
         ]
     ]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
-
-
-ATTRIBUTE_COLUMNS = ["area_id", "area_name", "parent_code", "weight", "income", "rate",
-                     "stratum_code"]
+    return union_all(counted)
 
 
 @query(

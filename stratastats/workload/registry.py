@@ -28,9 +28,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+AMOUNT_PLACES = 2  # amounts are sums of cents
+
+
 def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     """Published form of measures: double, rounded."""
-    return df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in columns})
+    return df.withColumns(
+        {
+            c: F.round(F.col(c).cast("double"), AMOUNT_PLACES if c == "amount" else places)
+            for c in columns
+        }
+    )
 
 
 def r6(c: Column | str, name: str) -> Column:

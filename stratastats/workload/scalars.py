@@ -174,7 +174,7 @@ def scale_units_(spark, folder):
 )
 def minmax_normalise_(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    return minmax_normalise(orders, "o_totalprice", "scaled").select("o_orderkey", r6("scaled", "scaled"))
+    return minmax_normalise(orders, "o_totalprice", "scaled", stored=True).select("o_orderkey", r6("scaled", "scaled"))
 
 
 @query(

@@ -14,6 +14,7 @@ from ..operators import (
     with_drift_flags,
 )
 from ..plans import bucket_drift, class_drift
+from ..sources import written
 from . import tables as t
 from .filters import drift_sql
 from .registry import query, rounded, table
@@ -100,7 +101,7 @@ def drift_by_bucket(spark, folder):
                  "group by stratum"),
 )
 def drift_domain_(spark, folder):
-    drift = _drift(spark, folder)
+    drift = written(_drift(spark, folder), "drift")
     shared = drift_domain(drift).withColumn("axis", F.lit("shared"))
     own = drift_domain(drift, ["stratum_code"]).withColumn("axis", F.lit("own"))
     return rounded(union_all([own, shared]), "domain")

@@ -39,7 +39,8 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     customer = table(spark, folder, "customer")
     nation = table(spark, folder, "nation")
-    part = table(spark, folder, "part")
+    path = F.concat("p_type", F.lit(" - "), "p_name")
+    part = table(spark, folder, "part").select("p_partkey", path.alias("sector_path"))
     return (
         # Parts first: a filter on the category path then thins out the later shuffles.
         lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -51,8 +52,8 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
             F.col("n_name").alias("parent_code"),
             zero_pad(F.col("c_custkey").cast("string"), 11).alias("child_part_id"),
             F.col("c_name").alias("child_name"),
-            F.concat("p_type", F.lit(" - "), "p_name").alias("sector_path"),
-            F.col("l_extendedprice").cast("decimal(14,2)").alias("amount"),
+            "sector_path",
+            F.col("l_extendedprice").alias("amount"),
         )
     )
 

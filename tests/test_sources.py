@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratastats.sources import (
-    Sources,
     read_json_records,
     read_preamble_table,
     read_tsv,
@@ -33,8 +32,11 @@ def test_json_numbers_forced_to_text(spark, tmp_path):
 
 def test_tsv(spark, tmp_path):
     path = tmp_path / "a.tsv"
-    path.write_text("region\tprice\nA County, OH\t5.5\nB County, OH\t\n")
-    got = read_tsv(spark, str(path), "region string, price double").collect()
+    path.write_text("region\tx\tprice\nA County, OH\t1\t5.5\nB County, OH\t\t\n")
+    got = read_tsv(spark, str(path), {"price": "double", "region": "string"})
+    got = got.select("region", "price").collect()
+    with pytest.raises(ValueError, match="not in the header"):
+        read_tsv(spark, str(path), {"absent": "int"})
     assert [tuple(r) for r in got] == [("A County, OH", 5.5), ("B County, OH", None)]
 
 
@@ -73,17 +75,6 @@ def test_preamble_in_many_files_and_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_sources_load_is_lazy(spark, tmp_path):
-    (tmp_path / "f.json").write_text('[{"STATE FIPS": "01", "COUNTY FIPS": "001", "EMISSIONS": 1}]')
-    (tmp_path / "a.csv").write_text(PREAMBLE + "01001,A,1,2\n")
-    (tmp_path / "p.tsv").write_text("region\tprice\nA\t1\n")
-    s = Sources.load(
-        spark, str(tmp_path / "f.json"), str(tmp_path / "a.csv"), str(tmp_path / "p.tsv"), FACTS,
-        {"FIPS_Code": "string"}, "region string, price double",
-    )
-    assert (s.facts.count(), s.attributes.count(), s.prices.count()) == (1, 1, 1)
-
-
 def test_written_goes_to_the_checkpoint_folder(spark):
     df = written(spark.range(10).withColumn("x", F.lit(1.5)), "t")
     assert df.count() == 10
