@@ -13,16 +13,23 @@ def carry_first(column: str, out: str | None = None) -> Column:
 
 
 def group_sum(
-    df: DataFrame, by: Sequence[str], amount: str, carry: Sequence[str] = ()
+    df: DataFrame,
+    by: Sequence[str],
+    amount: str,
+    carry: Sequence[str] = (),
+    cluster: Sequence[str] = (),
 ) -> DataFrame:
     """Sum ``amount`` per group (0 for a group without values) beside carried attributes.
 
     ``min`` of a text column would make Spark sort all rows before the first
     aggregation. Attributes are therefore grouped on first, which hashes and
     shrinks the data on the map side; one value per key is settled afterwards.
+    ``cluster`` names the keys of ``by`` to partition that second step by, so that a
+    later join on them needs no further shuffle.
     """
     by, carry = list(by), [c for c in carry if c not in by]
     sums = df.dropna(subset=by).groupBy(*by, *carry).agg(F.sum(amount).alias(amount))
     if carry:
+        sums = sums.repartition(*cluster) if cluster else sums
         sums = sums.groupBy(*by).agg(F.sum(amount).alias(amount), *[carry_first(c) for c in carry])
     return sums.withColumn(amount, F.coalesce(amount, F.lit(0)))

@@ -35,4 +35,4 @@ def roll_up(
 ) -> DataFrame:
     """Sum detailed categories per place and major class."""
     classed = df.withColumn(out, major_class(path, mapping, sep))
-    return group_sum(classed, [*by, out], amount, carry)
+    return group_sum(classed, [*by, out], amount, carry, cluster=by)

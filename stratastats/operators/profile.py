@@ -58,7 +58,10 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def describe_numeric(
     df: DataFrame, columns: Sequence[str], small_group_rows: int = SMALL_GROUP_ROWS
 ) -> DataFrame:
-    """``column, count, mean, std, min, q25, q50, q75, max`` with exact quartiles."""
+    """``column, count, mean, std, min, q25, q50, q75, max`` with exact quartiles.
+
+    ``df`` is read several times: pass a stored table.
+    """
     values = df.select(*[nan_as_null(c).alias(c) for c in columns])
     moments = values.agg(
         F.array(
@@ -71,13 +74,15 @@ def describe_numeric(
             ]
         ).alias("r")
     ).select(F.inline("r"))
-    long = values.select(
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))
-                           for c in columns]))
+    cells = [F.struct(F.lit(i).alias("slot"), F.col(c).alias("value")) for i, c in enumerate(columns)]
+    quartiles = grouped_percentiles(
+        values.select(F.inline(F.array(*cells))), ["slot"], "value", [0.25, 0.5, 0.75],
+        small_group_rows, stored=True,
     )
-    quartiles = grouped_percentiles(long, ["column"], "value", [0.25, 0.5, 0.75], small_group_rows)
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("slot") + 1)
+    quartiles = quartiles.select(names.alias("column"), "percentiles")
     # One row per described column.
-    return moments.join(F.broadcast(quartiles.drop("n")), "column", "left").select(
+    return moments.join(F.broadcast(quartiles), "column", "left").select(
         "column", "count", "mean", "std", "min",
         *[F.element_at("percentiles", i + 1).alias(q) for i, q in enumerate(["q25", "q50", "q75"])],
         "max",

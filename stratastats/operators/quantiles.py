@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import nan_as_null
+from ..sources.scratch import written
 from .aggregates import carry_first
 from .splits import find_splits, with_range
 
@@ -21,6 +22,7 @@ def grouped_percentiles(
     probs: Sequence[float],
     small_group_rows: int = SMALL_GROUP_ROWS,
     carry: Mapping[str, str] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """``by`` columns, ``n`` and ``percentiles`` (interpolated, one per probability).
 
@@ -28,12 +30,16 @@ def grouped_percentiles(
     suits groups of up to ``small_group_rows``. Larger groups, found by a count
     first, go through value ranges instead, where a task sees one range of one
     group. Null keys are dropped; a group without values has null percentiles.
-    ``carry`` maps an output name to an attribute that depends on the key.
+    ``carry`` maps an output name to an attribute that depends on the key. The
+    needed columns are stored once for these passes, unless ``stored`` says that
+    ``df`` is cheap to read again.
     """
     by, probs, carry = list(by), [float(p) for p in probs], dict(carry or {})
     rows = df.dropna(subset=by).select(
         *by, nan_as_null(value).alias("_v"), *[F.col(c).alias(f"_c_{o}") for o, c in carry.items()]
     )
+    if not stored:
+        rows = written(rows, "percentiles")
     carried = [carry_first(f"_c_{o}", o) for o in carry]
     sizes = rows.groupBy(*by).agg(F.count("_v").alias("n"))
     large = F.col("n") > small_group_rows
@@ -43,11 +49,12 @@ def grouped_percentiles(
     large_keys = sizes.where(large).select(*by)
     if found.large <= BROADCAST_ROWS:
         large_keys = F.broadcast(large_keys)
-    large_rows = rows.join(large_keys, by, "left_semi")
+    every = found.large == found.all
+    large_rows = rows if every else rows.join(large_keys, by, "left_semi")
     in_ranges = _by_ranges(large_rows, by, probs, found.large)
     if carried:
         in_ranges = in_ranges.join(large_rows.groupBy(*by).agg(*carried), by)
-    if found.large == found.all:
+    if every:
         return in_ranges
     small_rows = rows.join(large_keys, by, "left_anti")
     return _small(small_rows, by, probs, carried).unionByName(in_ranges)
@@ -60,8 +67,9 @@ def grouped_median(
     out: str,
     small_group_rows: int = SMALL_GROUP_ROWS,
     carry: Mapping[str, str] | None = None,
+    stored: bool = False,
 ) -> DataFrame:
-    p = grouped_percentiles(df, by, value, [0.5], small_group_rows, carry)
+    p = grouped_percentiles(df, by, value, [0.5], small_group_rows, carry, stored)
     return p.select(*by, F.element_at("percentiles", 1).alias(out), *(carry or {}))
 
 

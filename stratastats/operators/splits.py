@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-MAX_PARTS = 4096
+MIN_PARTS, MAX_PARTS = 512, 4096
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def find_splits(df: DataFrame, value: str, by: list[str], parts: int | None = No
     """
     if parts is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2, min(parts, MAX_PARTS))
+        parts = max(MIN_PARTS, min(parts, MAX_PARTS))
     probs = [i / parts for i in range(1, parts)]
     groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
     row = df.agg(
