@@ -43,7 +43,10 @@ def grouped_percentiles(
     carried = [carry_first(f"_c_{o}", o) for o in carry]
     sizes = rows.groupBy(*by).agg(F.count("_v").alias("n"))
     large = F.col("n") > small_group_rows
-    found = sizes.agg(F.count_if(large).alias("large"), F.count("*").alias("all")).first()
+    found = sizes.agg(
+        F.count_if(large).alias("large"), F.count("*").alias("all"),
+        F.sum(F.when(large, F.col("n"))).alias("large_rows"),
+    ).first()
     if not found.large:
         return _small(rows, by, probs, carried)
     large_keys = sizes.where(large).select(*by)
@@ -51,7 +54,7 @@ def grouped_percentiles(
         large_keys = F.broadcast(large_keys)
     every = found.large == found.all
     large_rows = rows if every else rows.join(large_keys, by, "left_semi")
-    in_ranges = _by_ranges(large_rows, by, probs, found.large)
+    in_ranges = _by_ranges(large_rows, by, probs, found.large, found.large_rows)
     if carried:
         in_ranges = in_ranges.join(large_rows.groupBy(*by).agg(*carried), by)
     if every:
@@ -79,9 +82,11 @@ def _small(rows: DataFrame, by: list[str], probs: list[float], carried: list) ->
     )
 
 
-def _by_ranges(rows: DataFrame, by: list[str], probs: list[float], groups: int) -> DataFrame:
+def _by_ranges(
+    rows: DataFrame, by: list[str], probs: list[float], groups: int, count: int
+) -> DataFrame:
     known = rows.where("_v is not null")
-    splits = find_splits(known, "_v", [])
+    splits = find_splits(known, "_v", [], rows=count)
     binned = with_range(known, "_v", splits, "_range")
 
     upto = Window.partitionBy(*by).orderBy("_range")

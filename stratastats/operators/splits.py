@@ -16,6 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
 MIN_PARTS, MAX_PARTS = 512, 4096
+SAMPLE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -29,20 +30,27 @@ class Splits:
         return len(self.points) - 1
 
 
-def find_splits(df: DataFrame, value: str, by: list[str], parts: int | None = None) -> Splits:
-    """One pass: quantiles of ``value`` (never more than ``MAX_PARTS``) come to the driver.
+def find_splits(
+    df: DataFrame, value: str, by: list[str], parts: int | None = None, rows: int | None = None
+) -> Splits:
+    """Cut points near the quantiles of ``value``; at most ``MAX_PARTS`` reach the driver.
 
-    A value that spans several quantiles gets a range of its own, so that its rows,
-    however many, need no ordering.
+    They only balance the ranges, so beyond ``SAMPLE_ROWS`` rows they come from a
+    sample, as a range partitioner's do: the quantile summaries of every task meet in
+    one, and must stay small. A value that spans several quantiles gets a range of its
+    own, so that its rows, however many, need no ordering.
     """
     if parts is None:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parts = max(MIN_PARTS, min(parts, MAX_PARTS))
+    groups = 1
+    if rows is None:
+        counted = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
+        rows, groups = df.agg(F.count("*"), counted).first()
+    fraction = SAMPLE_ROWS / max(rows, 1)
+    sample = df if fraction >= 1 else df.sample(fraction, seed=1)
     probs = [i / parts for i in range(1, parts)]
-    groups = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
-    row = df.agg(
-        F.percentile_approx(value, probs, max(10_000, 10 * parts)).alias("q"), groups.alias("g")
-    ).first()
+    row = sample.agg(F.percentile_approx(value, probs, max(10_000, 10 * parts)).alias("q")).first()
     quantiles = [0.0 if q == 0 else q for q in (row.q or [])]
     frequent = {a for a, b in zip(quantiles, quantiles[1:]) if a == b and math.isfinite(a)}
     cuts = set(quantiles) | {math.nextafter(v, math.inf) for v in frequent}
@@ -52,7 +60,7 @@ def find_splits(df: DataFrame, value: str, by: list[str], parts: int | None = No
         for i, (a, b) in enumerate(zip(points, points[1:]))
         if a in frequent and b == math.nextafter(a, math.inf)
     ]
-    return Splits(tuple(points), tuple(hot), int(row.g))
+    return Splits(tuple(points), tuple(hot), int(groups))
 
 
 def with_range(df: DataFrame, value: str, splits: Splits, out: str) -> DataFrame:

@@ -47,6 +47,16 @@ def test_frequent_value_has_its_own_range_and_is_spread(spark):
     assert "_spread" in plan and "xxhash64(id" in plan
 
 
+def test_cut_points_from_a_sample_give_the_same_ranks(spark, monkeypatch):
+    monkeypatch.setattr("stratastats.operators.splits.SAMPLE_ROWS", 200)
+    pdf = skewed(seed=4)
+    df = spark.createDataFrame(pdf)
+    got = op.average_rank(df, "x", ["id"], ["g"]).toPandas().set_index("id").sort_index()
+    np.testing.assert_array_equal(got.avg_rank.to_numpy(), pdf.groupby("g").x.rank().to_numpy())
+    medians = {r.g: r.m for r in op.grouped_median(df, ["g"], "x", "m", 0).collect()}
+    assert medians == pytest.approx(pdf.groupby("g").x.median().to_dict())
+
+
 @settings(max_examples=15, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from([-2.5, -0.0, 0.0, 1.0, 1.0, 7.25, None]), min_size=1, max_size=30))
