@@ -26,7 +26,7 @@ def average_rank(
     Rows are shuffled once, by (group, value range), whatever the size of a group;
     a frequent value fills its own range, has a closed-form rank and is spread by
     the hash of ``key``, the columns that tell rows apart. Rows with a null group
-    are dropped. ``df`` is read three times: pass a stored table.
+    are dropped. ``df`` is read four times: pass a stored table.
     """
     by = list(by)
     rows = (df.dropna(subset=by) if by else df).withColumn("_v", nan_as_null(value))

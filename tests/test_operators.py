@@ -57,6 +57,23 @@ def test_cut_points_from_a_sample_give_the_same_ranks(spark, monkeypatch):
     assert medians == pytest.approx(pdf.groupby("g").x.median().to_dict())
 
 
+def test_many_groups_take_the_unhinted_joins(spark, monkeypatch):
+    monkeypatch.setattr("stratastats.operators.rank.BROADCAST_ROWS", 0)
+    monkeypatch.setattr("stratastats.operators.quantiles.BROADCAST_ROWS", 0)
+    pdf = skewed(seed=6)
+    df = spark.createDataFrame(pdf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = op.average_rank(df, "x", ["id"], ["g"], parts=16)
+        assert "BroadcastHashJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+        got = ranked.toPandas().set_index("id").sort_index()
+        np.testing.assert_array_equal(got.avg_rank.to_numpy(), pdf.groupby("g").x.rank().to_numpy())
+        medians = {r.g: r.m for r in op.grouped_median(df, ["g"], "x", "m", 500).collect()}
+        assert medians == pytest.approx(pdf.groupby("g").x.median().to_dict())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @settings(max_examples=15, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.sampled_from([-2.5, -0.0, 0.0, 1.0, 1.0, 7.25, None]), min_size=1, max_size=30))
