@@ -12,6 +12,7 @@ from ..operators import (
     normal_fit,
     normality_report,
 )
+from ..plans import presets
 from ..sources import written
 from . import tables as t
 from .registry import query, r6, rounded, table
@@ -70,6 +71,53 @@ def histogram_panel_(spark, folder):
     return rounded(histogram_panel(panels), "lo", "hi")
 
 
+def _level_panels(level: str) -> list[tuple[str, str, str, str, int]]:
+    """Title, SQL frame, column, divisor and bins of the published panels at a level."""
+    attributes = "attr_parent" if level == "parent" else "clean_attributes"
+    frames = [attributes, f"price_{level}", attributes, f"fact_{level}"]
+    return list(
+        zip(
+            ["Income", "Property Value", "Unemployment Rates", "Emissions"], frames,
+            presets.PANEL_METRICS, ["1e3", "1e5", "1.0", "1e5"], presets.PANEL_BINS[level],
+        )
+    )
+
+
+def _level_sql(level: str) -> str:
+    facts = t.SQL_FACT_PARENT if level == "parent" else t.SQL_FACT_CHILD
+    return t.sql(
+        facts,
+        select=" union all ".join(
+            f"({histogram_sql(frame, c, bins, div, extra=f'{chr(39)}{title}{chr(39)} as metric,')})"
+            for title, frame, c, div, bins in _level_panels(level)
+        ),
+    )
+
+
+def _level_panel(spark, folder, level):
+    frames = {
+        "attributes": written(t.cleaned_attributes(spark, folder, level), "attributes"),
+        "price": written(t.cleaned_prices(spark, folder, level), "prices"),
+        "fact": written(t.cleaned_facts(spark, folder, level), "facts"),
+    }
+    source = {"income": "attributes", "rate": "attributes", "price": "price", "amount": "fact"}
+    panels = [
+        (title, frames[source[c]], c, float(div), bins)
+        for title, _, c, div, bins in _level_panels(level)
+    ]
+    return rounded(histogram_panel(panels), "lo", "hi")
+
+
+@query("histogram_panel_parent", _level_sql("parent"))
+def histogram_panel_parent(spark, folder):
+    return _level_panel(spark, folder, "parent")
+
+
+@query("histogram_panel_child", _level_sql("child"))
+def histogram_panel_child(spark, folder):
+    return _level_panel(spark, folder, "child")
+
+
 _FIT_SQL = ("select count(l_extendedprice) as n, round(avg(l_extendedprice), 4) as mu, "
             "round(stddev_pop(l_extendedprice), 4) as sigma, "
             "round(kurtosis_pop(l_extendedprice), 6) as kurtosis from lineitem")
