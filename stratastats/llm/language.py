@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import map_rows, pick, stream_rows, text_slices
 
@@ -171,7 +171,8 @@ def identify(
 def with_language(rows: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """All columns of ``rows``, with ``lang_pred`` and ``score`` as in :func:`identify`."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    schema = rows.schema.add("lang_pred", StringType()).add("score", DoubleType())
+    added = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    schema = StructType([*rows.schema.fields, *added])
 
     def run(batches):
         for batch in batches:
