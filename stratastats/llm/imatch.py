@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import xxhash
@@ -26,71 +26,78 @@ from .common import pick, stream_rows
 IDF_MIN, IDF_MAX = 1.0, 7.0
 SUBSETS = 32  # random lexicon subsets on each level
 USED = 3  # levels in a fingerprint
-_TERM = re.compile(r"\w+")
+_EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NOTHING = "0" * 16
 COUNTED = 400_000  # terms that a task counts before it passes them on
+_NUMBERS: dict[str, int] = {}
 
 
-def terms(text: str) -> set[str]:
-    return set(_TERM.findall(text.lower()))
-
-
-def _number(term: str) -> int:
-    return xxhash.xxh32_intdigest(term.encode("utf-8", "surrogatepass"))
+def terms(text: str) -> set[int]:
+    """Distinct terms as 32-bit hashes: words in lower case without punctuation around them."""
+    words = set(text.lower().split())
+    found = set(map(_NUMBERS.get, words))
+    if None in found:
+        if len(_NUMBERS) > 500_000:
+            _NUMBERS.clear()
+        for w in words:
+            if w not in _NUMBERS:
+                term = _EDGES.sub("", w)
+                _NUMBERS[w] = (
+                    xxhash.xxh32_intdigest(term.encode("utf-8", "surrogatepass")) | 1 if term else 0
+                )
+        found = set(map(_NUMBERS.__getitem__, words))
+    found.discard(0)
+    return found
 
 
 @dataclass
 class Lexicon:
-    terms: np.ndarray  # sorted 32-bit hashes of the terms in the band
-    numbers: dict[str, int] = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {"terms": self.terms, "numbers": {}}
-
-    def hashed(self, words: set[str]) -> np.ndarray:
-        known = self.numbers
-        if len(known) > 500_000:
-            known.clear()
-        out = []
-        for w in words:
-            n = known.get(w)
-            if n is None:
-                n = known[w] = _number(w)
-            out.append(n)
-        return np.unique(np.array(out, np.uint32))
+    terms: np.ndarray  # sorted hashes of the terms in the band
 
     def fingerprint(self, text: str) -> str:
         """``whole:level:hashes:hashes:hashes``: hashes on the level and on the next ones.
 
         Without a term in the band all terms count; without terms at all it is a constant.
         """
-        own = self.hashed(terms(text))
-        if not len(own):
+        found = terms(text)
+        if not found:
             return f"{_NOTHING}:0" + ":" * USED
+        own = np.sort(np.fromiter(found, np.uint32, len(found)))
         if len(self.terms):
             at = np.minimum(np.searchsorted(self.terms, own), len(self.terms) - 1)
             inside = own[self.terms[at] == own]
             own = inside if len(inside) else own
         level = max(0, round(math.log2(len(own) / 1.5)))
         whole = xxhash.xxh64_hexdigest(own.tobytes())
-        hashes = [_subset_hashes(own, level + i) for i in range(USED)]
-        return ":".join([whole, str(level), *hashes])
+        return ":".join([whole, str(level), *_subset_hashes(own, level)])
 
 
-_SALTS = np.random.default_rng(20011).integers(1, 2**63, SUBSETS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RANDOM = np.random.default_rng(20011)
+_SALTS = _RANDOM.integers(0, 2**31, SUBSETS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
-def _subset_hashes(own: np.ndarray, level: int) -> str:
-    """16 bits per subset, as hex; 0000 where a subset holds none of the terms."""
-    x = own.astype(np.uint64)[None, :] * _SALTS[:, None]
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    member = (x >> np.uint64(64 - level)) == 0 if level else np.ones(x.shape, bool)
+def _subset_hashes(own: np.ndarray, level: int) -> list[str]:
+    """On each level in use, 16 bits per subset as hex; 0000 where a subset holds no term.
+
+    A subset keeps the terms whose salted hash lies below a power of two; its own hash runs over
+    its sorted terms, each mixed with the sum of those before it.
+    """
+    x = own[None, :] * _SALTS[:, None]
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    x ^= x >> np.uint32(13)
+    value = own * np.uint32(0x9E3779B1)
+    value ^= value >> np.uint32(16)
+    value *= np.uint32(0x85EBCA77)
     out = []
-    for row in member:
-        inside = own[row]
-        h = xxhash.xxh32_intdigest(inside.tobytes()) & 0xFFFF if len(inside) else 0
-        out.append("%04x" % (h or 1 if len(inside) else 0))
-    return "".join(out)
+    for deep in range(level, level + USED):
+        member = x < np.uint32(min(2**32 - 1, 2 ** (32 - deep)))
+        total = np.where(member, value[None, :], np.uint32(0)).cumsum(axis=1, dtype=np.uint32)
+        total = np.where(member, total * np.uint32(0x27D4EB2F), np.uint32(0)).sum(axis=1, dtype=np.uint32)
+        short = np.maximum(total >> np.uint32(16), np.uint32(1)).astype(">u2")
+        short[~member.any(axis=1)] = 0
+        out.append(short.tobytes().hex())
+    return out
 
 
 def likeness(a: str | None, b: str | None) -> float:
@@ -131,9 +138,9 @@ def lexicon(
             for t in terms(text):
                 sums[t] = sums.get(t, 0) + 1
             if len(sums) >= COUNTED:
-                yield from ((_number(t) - 2**31, n) for t, n in sums.items())
+                yield from ((t - 2**31, n) for t, n in sums.items())
                 sums = {}
-        yield from ((_number(t) - 2**31, n) for t, n in sums.items())
+        yield from ((t - 2**31, n) for t, n in sums.items())
 
     rows = pick(docs, text=text_col)
     n = rows.count()

@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import map_rows, pick, stream_rows, text_slices
 
-BITS = 16
+BITS = 15
 NONE = "und"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -45,10 +45,10 @@ def ngram_counts(text: str) -> np.ndarray:
         one = cp[mid]
         two = (cp[:-1] << np.uint64(21)) | cp[1:]
         three = ((cp[:-2] << np.uint64(42)) | (cp[1:-1] << np.uint64(21)) | cp[2:])[mid[1:-1]]
-        for salt, grams in enumerate((one, two, three), 1):
-            h = (grams + np.uint64(salt * 0xC2B2AE3D27D4EB4F % 2**64)) * _ODD
-            h = (h ^ (h >> np.uint64(32))) * _ODD
-            total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
+        # the high bits tell the orders apart
+        h = np.concatenate((one, two | np.uint64(1 << 62), three | np.uint64(1 << 63))) * _ODD
+        h = (h ^ (h >> np.uint64(32))) * _ODD
+        total += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
     return total
 
 
@@ -62,7 +62,7 @@ class LanguageModel:
         if not text or not self.languages or not _LETTER.search(text):
             return []
         counts = ngram_counts(text)
-        seen = np.flatnonzero(counts)
+        seen = np.flatnonzero(counts > 0)
         c = counts[seen].astype(np.float64)
         n = c.sum()
         p = self.probs[:, seen]

@@ -60,17 +60,19 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 
 _RANDOM = np.random.default_rng(97)
-_FACTORS = _RANDOM.integers(0, 2**63, 2 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = _RANDOM.integers(0, 2**63, 2 * BANDS * ROWS, dtype=np.uint64)
+_FACTORS = _RANDOM.integers(0, 2**31, 2 * BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RANDOM.integers(0, 2**32, 2 * BANDS * ROWS, dtype=np.uint32)
 
 
 def bands(found: np.ndarray) -> list[int]:
     """One hash per band, first those of A, then those of B; for a set that is not empty."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), 2048):
-        part = found[at : at + 2048]
-        least = np.minimum(least, (part[None, :] * _FACTORS[:, None] + _SHIFTS[:, None]).min(axis=1))
-    rows = _mix(least).reshape(2 * BANDS, ROWS)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint32).max, np.uint32)
+    low = (found >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(low), 1024):
+        hashed = low[None, at : at + 1024] * _FACTORS[:, None]
+        hashed += _SHIFTS[:, None]
+        np.minimum(least, hashed.min(axis=1), out=least)
+    rows = _mix(least.astype(np.uint64)).reshape(2 * BANDS, ROWS)
     total = np.zeros(2 * BANDS, np.uint64)
     for i in range(ROWS):
         total = total * _ODD + rows[:, i]
