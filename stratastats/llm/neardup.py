@@ -6,16 +6,18 @@ minhashes instead of 800. Documents with equal shingle sets are collapsed first.
 that share some A_i and some B_j with another one can meet in a table; the others never expand.
 
 Candidates are confirmed on their full shingle sets. Within a table's bucket each document first
-meets one centre; buckets that still hold several components afterwards are compared pair by pair
-if they are small, and are split by further bands if they are not, so no bucket emits all its
-pairs and no bucket is cut short. Components come from alternating large and small stars.
+meets one centre, which joins most groups of copies. Buckets that still hold several components
+are compared across them: document by document if they are small, two documents per component
+(others in each of the tables) if they are large with few components, and after a split by further
+bands if they have many. No bucket emits all its pairs and none is cut short. Components come from
+alternating large and small stars.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stratastats.sources import written
 
@@ -154,20 +156,20 @@ def components(
     ).dropDuplicates(["doc", "d1", "d2"]).select(F.col("doc").alias("rep"), "n", "d1", "d2", "bands")
 
     # documents that share a band of A and one of B with others
-    each = reps.select("rep", "d1", "d2", F.posexplode("bands").alias("i", "h")).withColumn(
-        "key", F.xxhash64("i", "h")
+    each = reps.select("rep", F.posexplode("bands").alias("i", "h")).select(
+        "rep", "i", F.xxhash64("i", "h").alias("key")
     )
     shared = written(
         each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "shared"
     )
     active_ids = (
         each.join(shared, "key")
-        .groupBy("rep", "d1", "d2")
+        .groupBy("rep")
         .agg(F.min("i").alias("a"), F.max("i").alias("b"))
         .filter(f"a < {BANDS} and b >= {BANDS}")
-        .select("rep", "d1", "d2")
+        .select("rep")
     )
-    active = written(reps.join(active_ids, ["rep", "d1", "d2"]), "active")
+    active = written(reps.join(active_ids, "rep"), "active")
 
     ours, theirs = F.slice("bands", 1, BANDS), F.slice("bands", BANDS + 1, BANDS)
     tables = F.flatten(
@@ -230,28 +232,49 @@ def components(
         marked = members.join(labels, F.col("rep") == F.col("node"), "left").select(
             "key", "rep", "n", F.coalesce("label", "rep").alias("label")
         )
-        mixed = written(
-            marked.groupBy("key")
-            .agg(
-                F.count("*").alias("size"),
-                F.min("label").alias("low"),
-                F.max("label").alias("high"),
-                F.min(F.struct("rep", "n", "label")).alias("c"),
+        # two documents for each component of a bucket, others in every bucket
+        mask = F.xxhash64("key", F.lit(depth)).bitwiseAND(F.lit(2**62 - 1))
+        turned = F.col("rep").bitwiseXOR(mask)
+        of_key = Window.partitionBy("key")
+        groups = written(
+            marked.groupBy("key", "label")
+            .agg(F.count("*").alias("own"), F.min(turned).alias("lo"), F.max(turned).alias("hi"))
+            .withColumns(
+                {"size": F.sum("own").over(of_key), "parts": F.count("*").over(of_key)}
             )
-            .filter("low < high")
-            .select("key", "size", "c"),
-            "mixed",
+            .filter("parts > 1"),
+            "groups",
+        )
+        few = marked.join(
+            groups.filter(F.col("size") <= SMALL).select("key").distinct(), "key"
+        ).select("key", "rep", "n", "label")
+        many = (
+            groups.filter((F.col("size") > SMALL) & (F.col("parts") <= SMALL // 2))
+            .select("key", "label", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rep"))
+            .select("key", F.col("rep").bitwiseXOR(mask).alias("rep"), F.lit(None).cast("bigint").alias("n"), "label")
         )
-        inside = written(marked.join(mixed, "key"), "inside")
-        few = inside.filter(F.col("size") <= SMALL).select("key", "rep", "n", "label")
-        other = few.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("label").alias("label_"))
-        within = few.join(other, "key").filter(f"rep > v and label <> label_ and {close}")
-        star = inside.filter(F.col("size") > SMALL).select(
-            "rep", "n", "label", F.col("c.rep").alias("v"), F.col("c.n").alias("m"), F.col("c.label").alias("label_")
-        ).filter(f"rep <> v and label <> label_ and {close}")
+        # the components of a bucket with too many to compare all meet the smallest one
+        crowd = groups.filter((F.col("size") > SMALL) & (F.col("parts") > SMALL // 2))
+        first = crowd.groupBy("key").agg(F.min("label").alias("v"))
+        star = (
+            crowd.select("key", F.col("lo").bitwiseXOR(mask).alias("u"), "label")
+            .join(first, "key")
+            .filter("u <> v and label <> v")
+            .select("u", "v")
+        )
+
+        def across(rows: DataFrame) -> DataFrame:
+            other = rows.select(
+                "key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("label").alias("label_")
+            )
+            met = rows.join(other, "key").filter("rep > v and label <> label_")
+            return met.filter(f"n is null or {close}").select(F.col("rep").alias("u"), "v")
+
         fresh = written(
-            within.select(F.col("rep").alias("u"), "v")
-            .unionByName(star.select(F.col("rep").alias("u"), "v"))
+            across(few)
+            .unionByName(across(many))
+            .unionByName(star)
+            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             .distinct()
             .join(tested, ["u", "v"], "left_anti"),
             "fresh",
@@ -262,14 +285,21 @@ def components(
                 old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
                 labels = _stars(old.unionByName(links))
             tested = tested.unionByName(fresh)
-        crowded = inside.filter(F.col("size") > SMALL).select("key", "rep", "n")
+        crowded = crowd.select("key").distinct()
         if depth == SPLITS or crowded.isEmpty():
             break
-        # one more band in the key; a pair over the threshold shares most of the others
+        # two more bands in the keys, others for every bucket: a pair over the threshold shares
+        # many buckets, and in each of them either band with more than even chance
+        pick_two = F.array(*[F.pmod(F.shiftright("key", k), F.lit(2 * BANDS)) for k in (3, 23)])
         members = _crowded(
-            crowded.join(active.select("rep", "bands").dropDuplicates(["rep"]), "rep")
-            .select("key", "rep", "n", F.posexplode("bands").alias("i", "h"))
-            .select("rep", "n", F.xxhash64("key", "i", "h").alias("key"))
+            marked.join(crowded, "key")
+            .select("key", "rep", "n", F.explode(F.array_distinct(pick_two)).alias("i"))
+            .join(active.select("rep", "bands").dropDuplicates(["rep"]), "rep")
+            .select(
+                "rep",
+                "n",
+                F.xxhash64("key", "i", F.element_at("bands", F.col("i").cast("int") + 1)).alias("key"),
+            )
         )
 
     result = own.join(labels, F.col("rep") == F.col("node"), "left").select(
