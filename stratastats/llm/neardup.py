@@ -25,7 +25,7 @@ from .common import pick, stream_rows
 
 WORDS = 5
 BANDS, ROWS = 10, 4  # of each of the two collections
-SMALL = 48  # documents of a bucket that are compared pair by pair
+SMALL = 20  # documents of a bucket that are compared pair by pair
 SPLITS = 3  # times that larger buckets are split by one more band
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MEMO: dict[bytes, int] = {}
