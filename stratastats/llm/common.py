@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+SLICE_ROWS = 1024  # rows that a worker holds as Python objects at a time
 WORD = r"[^\x20\x09-\x0D]+"  # a word: anything between ASCII white space
 
 
@@ -27,7 +28,7 @@ def id_fold(column: str, folds: int) -> Column:
 def map_rows(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str
 ) -> DataFrame:
-    """Apply ``fn`` to the columns of each Arrow batch; both sides are dicts of lists."""
+    """Apply ``fn`` to the columns of each slice of rows; both sides are dicts of lists."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -35,8 +36,8 @@ def map_rows(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch.to_pydict())
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                out = fn(batch.slice(at, SLICE_ROWS).to_pydict())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], f.type) for f in target], schema=target
                 )
@@ -65,7 +66,9 @@ def stream_rows(
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            yield from zip(*[c.to_pylist() for c in batch.columns])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                yield from zip(*[c.to_pylist() for c in part.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import map_rows, pick, stream_rows, text_slices
+from .common import SLICE_ROWS, map_rows, pick, stream_rows, text_slices
 
 BITS = 15
 NONE = "und"
@@ -175,7 +175,8 @@ def with_language(rows: DataFrame, model: LanguageModel, text_col: str = "text")
     schema = StructType([*rows.schema.fields, *added])
 
     def run(batches):
-        for batch in batches:
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        for batch in slices:
             found = [sent.value.mixture(t) for t in batch[text_col].to_pylist()]
             columns = [
                 *batch.columns,

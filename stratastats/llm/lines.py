@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from stratastats.sources import written
 
-from .common import map_rows, pick, stream_rows
+from .common import SLICE_ROWS, map_rows, pick, stream_rows
 
 SPACE = " \t\n\v\f\r"
 _NO_ID = -(2**63)  # stands for a null id, before all others
@@ -209,7 +209,8 @@ def cleaned(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        for b in slices:
             texts = [
                 t if k is None or t is None else "\n".join(kept_lines(t, k)[1])
                 for t, k in zip(b["text"].to_pylist(), b["keep"].to_pylist())

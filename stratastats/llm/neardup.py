@@ -44,7 +44,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """
     if not text:
         return np.empty(0, np.uint64)
-    if len(_MEMO) > 400_000:
+    if len(_MEMO) > 200_000:
         _MEMO.clear()
     own = text.encode("utf-8", "surrogatepass").lower().split()
     if not own:

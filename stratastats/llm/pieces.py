@@ -19,13 +19,14 @@ from array import array
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import map_rows, pick
+from .common import SLICE_ROWS, map_rows, pick
 
 MARK = "▁"
-KEPT = 400_000  # entries of each table that a worker keeps
+KEPT = 200_000  # entries of each table that a worker keeps
 _NEVER = math.inf
 _STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -258,15 +259,21 @@ def encode(
     stretch. Null and repeated ids are kept as they are.
     """
 
-    def run(batch):
+    def run(batches):
         p = loaded(model)
-        edge = array("I", [p.begin]).tobytes(), array("I", [p.end]).tobytes()
-        return {
-            "doc_id": batch["id"],
-            "ids": [array("I", edge[0] + p.encode(t or "") + edge[1]).tolist() for t in batch["text"]],
-        }
-
-    return map_rows(pick(docs, id=id_col, text=text_col), run, "doc_id bigint, ids array<int>")
+        first, last = array("I", [p.begin]).tobytes(), array("I", [p.end]).tobytes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                raw = [first + p.encode(t or "") + last for t in batch["text"].to_pylist()]
+                ends = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
+                ids = pa.array(np.frombuffer(b"".join(raw), np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [batch["id"], pa.ListArray.from_arrays(pa.array(ends), ids)],
+                    names=["doc_id", "ids"],
+                )
+
+    return pick(docs, id=id_col, text=text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -1,0 +1,315 @@
+"""The training-data operators against brute force, on small fixtures with every awkward row."""
+
+import hashlib
+import html
+import re
+import zlib
+from array import array
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import types as T
+
+import corpus_pipeline
+from stratastats.llm import (
+    balltree, curriculum, html_text, imatch, language, lines, neardup, pieces, quality, token_store,
+)
+from stratastats.llm.queries import BYTE_MODEL, PIECE_MODEL, QUERIES
+
+PIECE, BYTE = public_tokenizers.path(PIECE_MODEL), public_tokenizers.path(BYTE_MODEL)
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LONG = "the quick brown fox jumps over the lazy dog again and again " * 4000
+LINE = "this line stands in more than five of the documents here"
+
+
+def awkward(spark, extra=()):
+    """Nulls in every column, empty and very long texts, ties and repeated rows."""
+    rows = [
+        (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, LONG, "en", "a", len(LONG)),
+        (4, "un deux trois", "fr", "b", 13), (4, "un deux trois", "fr", "b", 13),
+        (None, "sans nom", None, None, None), (None, None, None, None, None),
+        (5, " \n\t ", None, "c", 4), (6, "123 456", "en", "a", 7), (7, "😀 ▁ \x00 é", None, "", 8),
+        *((10 + i, f"{LINE}\nown line of document number {i} and some more words\n {LINE.upper()} ", "en", "a", 1) for i in range(6)),
+        *extra,
+    ]
+    frame = spark.createDataFrame(rows, DOCS)
+    return frame.withColumns({"score": frame.doc_id, "component_id": frame.text, "key": frame.source, "_row": frame.lang})
+
+
+def empty(spark):
+    return awkward(spark).limit(0)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_quality(spark):
+    good = [(i, f"a calm sentence about river number {i}", "en", "a", 1) for i in range(100, 160)]
+    bad = [(i, f"buy*** now*** {i}*** win*** win***", "en", "a", 1) for i in range(200, 260)]
+    docs = awkward(spark, good + bad)
+    labels = spark.createDataFrame(
+        [(i, 1) for i in range(100, 150)] + [(i, 0) for i in range(200, 250)] + [(None, 1), (3, None), (100, 1)],
+        "doc_id bigint, quality int",
+    )
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in rows(quality.score(docs, model))}
+    assert all(got[i] > 0.5 for i in range(150, 160)) and all(got[i] < 0.5 for i in range(250, 260))
+    assert all(0 <= s <= 1 for s in got.values()) and got[1] == got[2]
+    assert quality.score(docs, model).count() == docs.count()
+    none = quality.train(docs, labels.limit(0))
+    assert {r["score"] for r in rows(quality.score(docs, none))} == {0.5}
+    assert not rows(quality.score(empty(spark), model))
+
+
+def test_quality_held_out(spark, folder):
+    """Held-out accuracy on the given tables."""
+    got = QUERIES["op1_quality"](spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    held = got.filter("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.8
+
+
+def test_language(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = QUERIES["op2_language"](spark, folder).join(docs, "doc_id").filter("held_out").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95
+    model = language.train(docs)
+    texts = {x: next(r["text"] for r in docs.filter(f"lang = '{x}' and n_chars > 1000").collect()) for x in ("de", "fr")}
+    both = model.mixture(texts["de"][:1000] + texts["fr"][:1000])
+    assert {x[0] for x in both} == {"de", "fr"} and abs(sum(x[1] for x in both) - 1) < 1e-6
+    found = rows(language.identify(awkward(spark), model))
+    assert len(found) == awkward(spark).count()
+    assert {r["lang_pred"] for r in found if r["doc_id"] in (1, 2, 5, 6)} == {"und"}
+    assert all(0 <= r["score"] <= 1 for r in found)
+    untrained = language.train(empty(spark))
+    assert {r["lang_pred"] for r in rows(language.identify(awkward(spark), untrained))} == {"und"}
+
+
+def test_html_text(spark, folder):
+    page = (
+        "<html><head><title>T</title><style>p{}</style><script>x='</p>'</script></head><body>"
+        "<div class='cookie-notice'>We use cookies</div><nav><a href=x>Home</a></nav>"
+        "<article><h1>Ti&amp;tle</h1><p>One <b>bo</b>ld\n  word.</p><div class=ad>Buy</div>"
+        "<p>Tw&ouml;<br>x</p></article><section id='comments'><p>A reader says much about it all</p>"
+        "</section><aside>Side</aside><form><label>Name</label></form><footer>&copy; f</footer></body></html>"
+    )
+    assert html_text.main_text(page) == "Ti&tle One bold word. Twö x"
+    plain = "<body><ul class=menu><li><a>a</a></ul><div>" + "<p>" + "A long sentence of the story. " * 9 + "<p>The end.</div><div class=footer>f</div>"
+    assert html_text.main_text(plain) == ("A long sentence of the story. " * 9 + "The end.").strip()
+    odd = spark.createDataFrame(
+        [(1, "u", None), (None, None, ""), (2, "u", "<p"), (3, "u", "no markup"), (3, "u", "no markup"), (4, "u", "<div><p>" * 20000)],
+        "page_id bigint, url string, html string",
+    )
+    got = rows(html_text.extract(odd.selectExpr("*", "url as text")))
+    assert [r["text"] for r in got] == ["", "", "<p", "no markup", "no markup", ""]
+    assert not rows(html_text.extract(odd.limit(0)))
+    for r in spark.read.parquet(f"{folder}/pages.parquet").collect():
+        blocks = re.split(r"</?(?:p|h1|br|li|ul|div)[^>]*>", re.search(r"<article>(.*)</article>", r["html"], re.S)[1])
+        texts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks)
+        assert html_text.main_text(r["html"]) == " ".join(t for t in texts if t)
+
+
+def test_top_k(spark):
+    rng = np.random.default_rng(5)
+    made = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(700)]
+    same = [(i, [0.5] * 6) for i in range(700, 1400)]
+    odd = [(2000, None), (2050, [1.0, None]), (2100, [float("nan")] * 6), (None, [1.0] * 6), (2150, []), (2200, [1.0, 2.0]), (2250, [2.0, 1.0])]
+    raw = spark.createDataFrame(made + same + odd, "vec_id bigint, embedding array<double>")
+    vectors = balltree.quantised(raw.withColumn("rank", raw.vec_id), 256)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows(balltree.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5))}
+    usable = {i: np.floor(np.array(v) * 256).astype(np.int64) for i, v in made + same + odd[5:]}
+    want = {}
+    for q in (i for i in usable if i % 50 == 0):
+        best = sorted((-int(v @ usable[q]), i) for i, v in usable.items() if i != q and len(v) == len(usable[q]))
+        want |= {(q, n): (i, -s) for n, (s, i) in enumerate(best[:5], 1)}
+    assert got == want
+    none = balltree.quantised(raw.limit(0), 256)
+    assert not rows(balltree.top_k(none, none, 5))
+
+
+def test_pieces(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    p = pieces.Pieces(PIECE)
+    rng = np.random.default_rng(3)
+    parts = ["a", "b", " ", "  ", "\n", "▁", "é", " the", "ing", "①", "梦", "😀", "***", "<s>", "<0x41>", "th", "he", "\x00", "x" * 30, " " * 20]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts, rng.integers(0, 12)))
+        ids = array("I", p.encode(text))
+        assert ids.tolist() == sp.encode(text)
+        assert p.decode(ids) == sp.decode(ids.tolist())
+    for _ in range(800):
+        ids = rng.choice([0, 1, 2, 5, 200, 214, 240, 259, 300, 29871], rng.integers(0, 7)).tolist()
+        assert p.decode(array("I", ids)) == sp.decode(ids)
+    docs = awkward(spark)
+    got = rows(pieces.encode(docs, PIECE))
+    assert [r["ids"] for r in got] == [sp.encode(r["text"] or "", add_bos=True, add_eos=True) for r in docs.collect()]
+    back = rows(pieces.decode(pieces.encode(docs, PIECE), PIECE))
+    assert [r["text"] for r in back] == [sp.decode(r["ids"]) for r in got]
+    told = rows(pieces.digests(docs, PIECE))
+    assert [r["ids_sha256"] for r in told] == [hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest() for r in got]
+    assert not rows(pieces.digests(empty(spark), PIECE))
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_lines(spark, parts):
+    docs = awkward(spark)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)  # runs of a key cross partitions
+    try:
+        maps = lines.keep_bitmaps(docs)
+        got = {(r["doc_id"], r["n_lines"]): r for r in rows(lines.digests(docs, maps))}
+        text = {r["doc_id"]: r["text"] for r in lines.cleaned(docs, maps).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    for i in range(5):
+        assert text[10 + i] == f"own line of document number {i} and some more words"
+        assert got[10 + i, 3]["n_dropped"] == 2
+        assert got[10 + i, 3]["kept_sha256"] == hashlib.sha256(text[10 + i].encode()).hexdigest()
+    assert got[15, 3]["n_dropped"] == 0 and text[1] is None and got[1, 1]["n_dropped"] == 0
+    assert lines.cleaned(docs, maps).columns == docs.columns
+    assert not rows(lines.digests(empty(spark), lines.keep_bitmaps(empty(spark))))
+
+
+def test_near_duplicates(spark):
+    rng = np.random.default_rng(11)
+    word = [f"w{i}" for i in range(4000)]
+    base = [list(rng.choice(word, 120)) for _ in range(30)]
+    texts = {i: " ".join(b) for i, b in enumerate(base, 100)}
+    for i in range(400):  # copies of a few with one to three edits, so that links chain
+        copy = list(base[i % 4])
+        for at in rng.integers(0, 120, rng.integers(0, 4)):
+            copy[at] = str(rng.choice(word))
+        texts[1000 + i] = " ".join(copy)
+    for i in range(60):  # a passage in common, far from the threshold
+        texts[3000 + i] = " ".join(base[9][:60]) + " " + " ".join(rng.choice(word, 50))
+    docs = awkward(spark, [(i, t, "en", "a", len(t)) for i, t in texts.items()])
+    got = rows(neardup.components(docs, percent=85))
+    assert len(got) == docs.count()
+    sets = {r["doc_id"]: set(neardup.shingles(r["text"]).tolist()) for r in docs.collect() if r["doc_id"] is not None}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["component_id"], r["n_shingles"]) == (find(r["doc_id"]), len(sets[r["doc_id"]]))
+            assert r["kept"] == (r["component_id"] == r["doc_id"])
+    assert not rows(neardup.components(empty(spark)))
+
+
+def test_curriculum(spark):
+    docs = awkward(spark, [(i, "w " * (i % 9), "en", f"s{i % 3}", 1) for i in range(500, 2000)])
+    weight = lambda i, s: [(0.0, 1.0 + i), (0.5, 0.5), (1.0, 2.0)]
+    got = rows(curriculum.plan(docs, weight))
+    assert len(got) == docs.count()
+    assert sorted(map(str, got)) == sorted(map(str, rows(curriculum.plan(docs, weight))))
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+        assert r["taken"] <= 2 * r["size"] and r["positions"] == sorted(r["positions"])
+        assert all(0 <= p <= 1 for p in r["positions"])
+    total = sum(r["size"] for r in got)
+    assert abs(sum(g[0]["target"] for g in by.values()) - 1.5 * total) < 1e-6
+    for g in by.values():
+        assert g[0]["target"] <= 2 * g[0]["source_size"]
+        assert abs(sum(r["taken"] for r in g) - g[0]["target"]) <= max(r["size"] for r in g)
+    # the words used by half time follow the integral of the schedule
+    half = sum(r["size"] * sum(p <= 0.5 for p in r["positions"]) for r in by["s1"])
+    own = weight(sorted(s for s in by if s is not None).index("s1"), "s1")
+    assert abs(half / by["s1"][0]["target"] - curriculum.integral(own[:2]) / curriculum.integral(own)) < 0.02
+    mix = curriculum.mixed(docs, curriculum.plan(docs, weight))
+    assert mix.columns == docs.columns and mix.count() == sum(len(r["positions"]) for r in got)
+    assert not rows(curriculum.plan(empty(spark), weight))
+
+
+def test_token_store(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    docs = awkward(spark, [(50 + i, "word <|endoftext|>  \n x" * i, "en", "a", 1) for i in range(30)])
+    tk = Tokenizer.from_file(BYTE)
+    order = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    path = token_store.write(docs, BYTE, 2, f"{tmp_path}/tokens")
+    got = sorted(rows(token_store.entries(spark, path)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in order]
+    start = 0
+    for r in got:
+        assert r["start"] == start
+        start += r["n_tokens"]
+    want = sorted(zlib.crc32(np.array([*tk.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for r in order)
+    assert sorted(r["ids_crc32"] for r in got) == want
+    some = token_store.get(spark, path, [3, 4, 79, 99999])
+    assert set(some) == {3, 4, 79} and some[3] == [*tk.encode(LONG).ids, 2]
+    none = token_store.write(empty(spark), BYTE, 2, f"{tmp_path}/none")
+    assert not rows(token_store.entries(spark, none))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 5000])
+def test_perfect_hash(n):
+    h = token_store._hashes(np.arange(n), np.zeros(n, np.int64))
+    displacements, slots = token_store.perfect_hash(h)
+    assert sorted(slots.tolist()) == list(range(n)) and len(displacements) <= max(1, n // 3)
+
+
+def test_fingerprints(spark):
+    rng = np.random.default_rng(4)
+    made = [(100 + i, " ".join(rng.choice([f"t{k}" for k in range(900)], 150)), "en", "a", 1) for i in range(40)]
+    docs = awkward(spark, made)
+    lex = imatch.lexicon(docs)
+    got = rows(imatch.edited_digests(docs, lex))
+    assert len(got) == docs.count()
+    order = sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    by = {r["doc_id"]: r for r in got}
+    for i, r in enumerate(order):
+        if r["doc_id"] is not None and r["doc_id"] not in (4,):
+            own, following = r["text"] or "", order[(i + 1) % len(order)]["text"] or ""
+            part = len(own) // 4
+            edited = own[: len(own) - part] + following[:part]
+            assert by[r["doc_id"]]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert by[r["doc_id"]]["n_chars"] == len(own)
+    near = [(r["near_edited"], r["near_next"]) for r in got if (r["doc_id"] or 0) >= 100]
+    assert np.mean([a > b for a, b in near]) > 0.9
+    texts = {}
+    for r in rows(imatch.fingerprints(docs.select("doc_id", "text"), lex)):
+        texts.setdefault(r["doc_id"], set()).add(r["fingerprint"])
+    assert len(texts[4]) == 1
+    assert imatch.likeness(None, "x") == 0.0 and imatch.likeness("a:0:::", "a:0:::") == 1.0
+    assert not rows(imatch.edited_digests(empty(spark), imatch.lexicon(empty(spark))))
+
+
+def test_pipeline(spark, folder):
+    """Every stage keeps clean documents and its decisions take effect."""
+    docs = awkward(spark, spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id > 50").collect())
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, folder)
+        assert docs.columns == columns, name
+        if name == "language":
+            assert docs.filter("doc_id in (1, 2, 5, 6)").count() == 0
+            assert docs.count() >= 0.9 * before.count()
+        if name == "near_duplicates":
+            assert docs.filter("doc_id = 4").count() <= 1
+    assert pieces.encode(docs, PIECE).count() == docs.count() > 0
+    assert isinstance(docs.schema["n_chars"].dataType, T.LongType)
+
+
+def test_pipeline_of_nothing(spark, folder):
+    docs = empty(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    assert docs.count() == 0
