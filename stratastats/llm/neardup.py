@@ -6,7 +6,7 @@ minhashes instead of 800. Documents with equal shingle sets are collapsed first.
 that share some A_i and some B_j with another one can meet in a table; the others never expand.
 
 Candidates are confirmed on their full shingle sets. Within a table's bucket each document first
-meets one centre, which joins most groups of copies. Buckets that still hold several components
+meets one centre, then a few others, which joins most groups of copies. Buckets that still hold several components
 are compared across them: document by document if they are small, two documents per component
 (others in each of the tables) if they are large with few components, and after a split by further
 bands if they have many. No bucket emits all its pairs and none is cut short. Components come from
@@ -26,6 +26,7 @@ from .common import pick, stream_rows
 WORDS = 5
 BANDS, ROWS = 10, 4  # of each of the two collections
 SMALL = 20  # documents of a bucket that are compared pair by pair
+CENTRES = 3  # further centres of a bucket before that
 SPLITS = 3  # times that larger buckets are split by one more band
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MEMO: dict[bytes, int] = {}
@@ -228,6 +229,32 @@ def components(
     tested = written(met.select(F.col("rep").alias("u"), F.col("centre").alias("v")), "tested")
     labels = _stars(confirmed(tested).unionByName(same_id))
 
+    # more centres, one new pair a document each time: groups whose first centre is not in reach
+    for turn in range(CENTRES):
+        mask = F.xxhash64("key", F.lit(-1 - turn)).bitwiseAND(F.lit(2**62 - 1))
+        marked = members.join(labels, F.col("rep") == F.col("node"), "left").select(
+            "key", "rep", "n", F.coalesce("label", "rep").alias("label")
+        )
+        centre = marked.groupBy("key").agg(
+            F.min(F.struct(F.col("rep").bitwiseXOR(mask).alias("turned"), "rep", "n", "label")).alias("c")
+        )
+        met = written(
+            marked.join(centre, "key")
+            .select("rep", "n", "label", F.col("c.rep").alias("v"), F.col("c.n").alias("m"), F.col("c.label").alias("other"))
+            .filter(f"rep <> v and label <> other and {close}")
+            .groupBy("rep")
+            .agg(F.min("v").alias("v"))
+            .select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v"))
+            .distinct()
+            .join(tested, ["u", "v"], "left_anti"),
+            "met",
+        )
+        if met.isEmpty():
+            break
+        old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
+        labels = _stars(old.unionByName(confirmed(met)))
+        tested = tested.unionByName(met)
+
     for depth in range(SPLITS + 1):
         marked = members.join(labels, F.col("rep") == F.col("node"), "left").select(
             "key", "rep", "n", F.coalesce("label", "rep").alias("label")
