@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 from .columns import ColumnLike, as_column
 
 
+def present(c: Column) -> Column:
+    """Neither null nor NaN."""
+    return c.isNotNull() & ~F.isnan(c)
+
+
 @dataclass(frozen=True)
 class Terms:
     """Row-level numerator and denominator of a ratio of sums."""
@@ -21,9 +26,10 @@ class Terms:
 
 
 def weighted_terms(value: ColumnLike, weight: ColumnLike) -> Terms:
-    """Terms of the weighted mean of ``value``; a null value or weight is left out."""
+    """Terms of the weighted mean of ``value``; a missing value or weight is left out."""
     value, weight = as_column(value), as_column(weight)
-    return Terms(value * weight, F.when(value.isNotNull(), weight))
+    usable = present(value) & present(weight)
+    return Terms(F.when(usable, value * weight), F.when(usable, weight))
 
 
 def amount_terms(amount: ColumnLike, weight: ColumnLike) -> Terms:
@@ -32,7 +38,7 @@ def amount_terms(amount: ColumnLike, weight: ColumnLike) -> Terms:
     The weight cancels (sum((a/w)*w) = sum(a)), so the rate is never materialised.
     """
     amount, weight = as_column(amount), as_column(weight)
-    usable = amount.isNotNull() & (weight != 0)
+    usable = present(amount) & present(weight) & (weight != 0)
     return Terms(F.when(usable, amount), F.when(usable, weight))
 
 

@@ -1,6 +1,6 @@
 """DataFrame operators."""
 
-from .aggregates import carry_first, group_sum
+from .aggregates import carried, carry_first, group_sum
 from .correlation import pivot_matrix, spearman
 from .distribution import (
     excess_kurtosis,
@@ -30,6 +30,7 @@ from .strata import (
 __all__ = [
     "average_rank",
     "bottom_n",
+    "carried",
     "carry_first",
     "category_dictionary",
     "composition",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+from .reshape import without_nan
 
 
 def carry_first(column: str, out: str | None = None) -> Column:
@@ -12,12 +15,23 @@ def carry_first(column: str, out: str | None = None) -> Column:
     return F.min(column).alias(out or column)
 
 
+def carried(df: DataFrame, by: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """Attributes (column -> name in the result) per group, as :func:`carry_first` picks them.
+
+    The distinct rows are hashed out first, so that only they are sorted for the smallest text.
+    """
+    by = list(by)
+    rows = df.dropna(subset=by).select(*by, *[F.col(c).alias(o) for c, o in columns.items()])
+    return rows.distinct().groupBy(*by).agg(*[carry_first(o) for o in columns.values()])
+
+
 def group_sum(
     df: DataFrame,
     by: Sequence[str],
     amount: str,
     carry: Sequence[str] = (),
     cluster: Sequence[str] = (),
+    exact: int | None = None,
 ) -> DataFrame:
     """Sum ``amount`` per group (0 for a group without values) beside carried attributes.
 
@@ -25,10 +39,19 @@ def group_sum(
     aggregation. Attributes are therefore grouped on first, which hashes and
     shrinks the data on the map side; one value per key is settled afterwards.
     ``cluster`` names the keys of ``by`` to partition that second step by, so that a
-    later join on them needs no further shuffle.
+    later join on them needs no further shuffle. NaN is missing. ``exact`` sums doubles as
+    decimals of that many places (money: 2), the same in any order, and casts last.
     """
     by, carry = list(by), [c for c in carry if c not in by]
-    sums = df.dropna(subset=by).groupBy(*by, *carry).agg(F.sum(amount).alias(amount))
+    rows = without_nan(df, amount).dropna(subset=by)
+    kind = rows.schema[amount].dataType
+    if exact is not None and isinstance(kind, (DoubleType, FloatType)):
+        # sums of doubles depend on the order of tasks; these do not
+        rows = rows.withColumn(amount, F.col(amount).cast(f"decimal(38, {exact})"))
+        return group_sum(rows, by, amount, carry, cluster).withColumn(
+            amount, F.col(amount).cast("double")
+        )
+    sums = rows.groupBy(*by, *carry).agg(F.sum(amount).alias(amount))
     if carry:
         sums = sums.repartition(*cluster) if cluster else sums
         sums = sums.groupBy(*by).agg(F.sum(amount).alias(amount), *[carry_first(c) for c in carry])

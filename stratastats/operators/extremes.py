@@ -1,4 +1,4 @@
-"""Largest and smallest rows. Ties are broken by key, nulls come last."""
+"""Largest and smallest rows. Ties are broken by key; missing values (null, NaN) come last."""
 
 from __future__ import annotations
 
@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import scale_units, scientific_label
-from .reshape import union_all
+from .reshape import union_all, without_nan
 
 
 def top_n(df: DataFrame, column: str, key: Sequence[str], n: int = 5) -> DataFrame:
-    return df.orderBy(F.col(column).desc_nulls_last(), *key).limit(n)
+    return without_nan(df, column).orderBy(F.col(column).desc_nulls_last(), *key).limit(n)
 
 
 def bottom_n(df: DataFrame, column: str, key: Sequence[str], n: int = 5) -> DataFrame:
-    return df.orderBy(F.col(column).asc_nulls_last(), *key).limit(n)
+    return without_nan(df, column).orderBy(F.col(column).asc_nulls_last(), *key).limit(n)
 
 
 def extremes(df: DataFrame, column: str, key: Sequence[str], n: int = 5) -> DataFrame:

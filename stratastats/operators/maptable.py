@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import format_label, minmax, round_trunc_int, scale_units
 from ..sources.scratch import written
+from .reshape import without_nan
 
 
 @dataclass(frozen=True)
@@ -36,14 +37,13 @@ def metric_metadata(column: str, metrics: Mapping[str, Metric] = METRICS) -> Met
         raise ValueError(f"no metric is declared for column {column!r}") from None
 
 
-def minmax_normalise(
-    df: DataFrame, column: str, out: str, stored: bool = False
-) -> DataFrame:
-    """Scale a column to [0, 1]; null when all values are equal.
+def minmax_normalise(df: DataFrame, column: str, out: str, store: bool = False) -> DataFrame:
+    """Scale a column to [0, 1]; null when all values are equal. NaN is missing.
 
-    The extent takes a first pass, so the frame is stored unless it already is.
+    The extent is a scalar subquery over the same frame; ``store`` writes a frame that is
+    expensive to compute once, before both passes.
     """
-    df = df if stored else written(df, "minmax")
+    df = without_nan(written(df, "minmax") if store else df, column)
     extent = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
     return (
         df.withColumn("_extent", extent)
@@ -62,6 +62,7 @@ def map_table(
     """``region, value, z, text, unit, title`` with one row per region."""
     metric = metric_metadata(column, metrics)
     values = df.select(F.col(region).alias("region"), F.col(column).cast("double").alias("value"))
+    values = without_nan(values, "value")
     if normalise:
         values = minmax_normalise(values, "value", "value")
     elif metric.divisor != 1:

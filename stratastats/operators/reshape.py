@@ -6,6 +6,9 @@ import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+from ..functions import nan_as_null
 
 
 def unpivot_drop_null(
@@ -25,3 +28,14 @@ def flatten_map(df: DataFrame, outer: str, nested: Column | str, inner: str = "i
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Stack frames by column name; a column missing from a frame is null there."""
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def without_nan(df: DataFrame, *columns: str) -> DataFrame:
+    """NaN of the floating-point columns named as null; other types have none."""
+    return df.withColumns(
+        {
+            c: nan_as_null(c)
+            for c in columns
+            if isinstance(df.schema[c].dataType, (DoubleType, FloatType))
+        }
+    )

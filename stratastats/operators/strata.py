@@ -83,13 +83,17 @@ def drift_domain(drift: DataFrame, by: Sequence[str] = (), stretch: float = 1.2)
     return drift.groupBy(*by).agg((widest * stretch).alias("domain"))
 
 
-def with_drift_flags(drift: DataFrame, share: float = 0.02) -> DataFrame:
-    """Add the sign and whether a value is too close to zero for the shared axis.
+def with_drift_flags(
+    drift: DataFrame, share: float = 0.02, by: Sequence[str] = ()
+) -> DataFrame:
+    """Add the sign and whether a value is too close to zero for its axis.
 
-    The table has one row per stratum and class; one window over it spares
-    computing it twice.
+    The axis is shared by all rows, or by those of a stratum that ``by`` names.
     """
-    widest = F.max(F.abs("drift")).over(Window.partitionBy(F.lit(0)))
+    if by:
+        widest = F.max(F.abs("drift")).over(Window.partitionBy(*by))
+    else:
+        widest = drift.agg(F.max(F.abs("drift"))).scalar()
     return drift.withColumns(
         {"flag": sign_flag("drift"), "near_zero": near_zero_flag("drift", widest, share)}
     )

@@ -7,7 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions import nan_as_null
+
+
+def _typed(c: Column, read_as: str, kind: str) -> Column:
+    """A column in its canonical type; NaN is missing."""
+    return (nan_as_null(c) if read_as == "double" else c).cast(kind)
 
 
 @dataclass(frozen=True)
@@ -25,8 +32,8 @@ class Table:
     def canonical(self, df: DataFrame) -> DataFrame:
         return df.select(
             *[
-                F.col(f"`{source}`").cast(kind).alias(name)
-                for source, (name, _, kind) in self.columns.items()
+                _typed(F.col(f"`{source}`"), read_as, kind).alias(name)
+                for source, (name, read_as, kind) in self.columns.items()
             ]
         )
 

@@ -128,6 +128,19 @@ def near_zero_flag_(spark, folder):
     return rounded(with_drift_flags(_drift(spark, folder)), "drift")
 
 
+@query(
+    "near_zero_flag_own_axis",
+    t.sql(*_DRIFT_CTES,
+          select="select cast(stratum as integer) as stratum_code, major_class, "
+                 "round(drift, 6) as drift, "
+                 "case when drift > 0 then 'above' else 'not_above' end as flag, "
+                 "abs(drift) < 0.02 * max(abs(drift)) over (partition by stratum) "
+                 "as near_zero from drift"),
+)
+def near_zero_flag_own_axis_(spark, folder):
+    return rounded(with_drift_flags(_drift(spark, folder), by=["stratum_code"]), "drift")
+
+
 _WIDE = ["F", "O", "P"]
 
 

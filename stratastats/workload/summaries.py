@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scale_units, weighted_avg
 from ..operators import (
     bottom_n,
-    carry_first,
+    carried,
     category_dictionary,
     extremes,
     extremes_panel,
@@ -65,9 +65,7 @@ def carry_first_(spark, folder):
     joined = table(spark, folder, "customer").join(
         table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    return joined.groupBy("c_nationkey").agg(
-        carry_first("c_mktsegment", "segment"), carry_first("n_name", "nation")
-    )
+    return carried(joined, ["c_nationkey"], {"c_mktsegment": "segment", "n_name": "nation"})
 
 
 _MEDIAN_PARENT = (

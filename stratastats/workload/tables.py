@@ -41,12 +41,14 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     nation = table(spark, folder, "nation")
     path = F.concat("p_type", F.lit(" - "), "p_name")
     part = table(spark, folder, "part").select("p_partkey", path.alias("sector_path"))
+    # Places first, without the facts: those then move for the part and for the order only.
+    places = orders.join(
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")),
+        F.col("o_custkey") == F.col("c_custkey"),
+    )
     return (
-        # Parts first: a filter on the category path then thins out the later shuffles.
         lineitem.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(places, F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             zero_pad(F.col("c_nationkey").cast("string"), 2).alias("parent_id"),
             F.col("n_name").alias("parent_code"),
