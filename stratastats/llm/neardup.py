@@ -10,7 +10,7 @@ meets one centre, then a few others, which joins most groups of copies. Buckets
 are compared across them: document by document if they are small, two documents per component
 (others in each of the tables) if they are large with few components, and after a split by further
 bands if they have many. No bucket emits all its pairs and none is cut short. Components come from
-alternating large and small stars.
+alternating large and small stars; later links only walk the graph of the components so far.
 """
 
 from __future__ import annotations
@@ -87,16 +87,25 @@ def _digest(found: np.ndarray) -> tuple[int, int]:
     return int(raw[0]), int(raw[1])
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge (u, v) leads to a root: no u has two edges, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    open_ = ends.groupBy("x").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return not open_.filter("down > 1 or (down = 1 and up = 1)").agg(F.count("*")).first()[0]
+
+
 def _stars(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that can be reached, for every node of the edges (u, v)."""
+    """(node, label): the smallest node that can be reached, for every node of the edges (u, v)
+    but those smallest ones."""
     edges = written(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .filter("u <> v")
         .distinct(),
         "edges",
     )
-    seen = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = (
@@ -111,10 +120,20 @@ def _stars(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = written(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = tuple(now)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after further links (u, v); only the graph of whole components is walked."""
+    ends = (
+        links.join(labels.select(F.col("node").alias("u"), F.col("label").alias("from")), "u", "left")
+        .join(labels.select(F.col("node").alias("v"), F.col("label").alias("to")), "v", "left")
+        .select(F.coalesce("from", "u").alias("u"), F.coalesce("to", "v").alias("v"))
+    )
+    moved = _stars(ends)
+    onto = moved.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    kept = labels.join(onto, "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return written(kept.unionByName(moved), "labels")
 
 
 def components(
@@ -251,8 +270,7 @@ def components(
         )
         if met.isEmpty():
             break
-        old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-        labels = _stars(old.unionByName(confirmed(met)))
+        labels = _joined(labels, confirmed(met))
         tested = tested.unionByName(met)
 
     for depth in range(SPLITS + 1):
@@ -309,8 +327,7 @@ def components(
         if not fresh.isEmpty():
             links = written(confirmed(fresh), "links")
             if not links.isEmpty():
-                old = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-                labels = _stars(old.unionByName(links))
+                labels = _joined(labels, links)
             tested = tested.unionByName(fresh)
         crowded = crowd.select("key").distinct()
         if depth == SPLITS or crowded.isEmpty():

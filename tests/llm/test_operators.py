@@ -213,6 +213,33 @@ def test_near_duplicates(spark):
     assert not rows(neardup.components(empty(spark)))
 
 
+def test_labels_follow_all_links(spark):
+    """Components of random graphs and of a chain, labelled at once and after further links."""
+    rng = np.random.default_rng(5)
+    chain = [(i, i + 1) for i in range(40)]
+    edges = chain + [tuple(map(int, e)) for e in rng.integers(100, 400, (220, 2))] + [(7, 7)]
+    least = {x: x for e in edges for x in e}
+    changed = True
+    while changed:
+        changed = False
+        for u, v in edges:
+            low = min(least[u], least[v])
+            changed |= least[u] != low or least[v] != low
+            least[u] = least[v] = low
+    want = {(x, low) for x, low in least.items() if x != low}
+    frame = spark.createDataFrame(edges, "u bigint, v bigint")
+    assert {tuple(r) for r in neardup._stars(frame).collect()} == want
+    rng.shuffle(order := list(range(len(edges))))
+    parts = [spark.createDataFrame([edges[i] for i in order[k::3]], "u bigint, v bigint") for k in range(3)]
+    labels = neardup._stars(parts[0])
+    for part in parts[1:]:
+        labels = neardup._joined(labels, part)
+    got = labels.collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    none = frame.limit(0)
+    assert not neardup._joined(neardup._stars(none), none).collect()
+
+
 def test_curriculum(spark):
     docs = awkward(spark, [(i, "w " * (i % 9), "en", f"s{i % 3}", 1) for i in range(500, 2000)])
     weight = lambda i, s: [(0.0, 1.0 + i), (0.5, 0.5), (1.0, 2.0)]
