@@ -8,8 +8,10 @@ that share some A_i and some B_j with another one can meet in a table; the other
 Candidates are confirmed on their full shingle sets. Within a table's bucket each document first
 meets one centre, then a few others, which joins most groups of copies. Buckets that still hold several components
 are compared across them: document by document if they are small, two documents per component
-(others in each of the tables) if they are large with few components, and after a split by further
-bands if they have many. No bucket emits all its pairs and none is cut short. Components come from
+(others in each of the tables) if they are large with few components. With many, every document is
+set against one pivot of the bucket's largest component: two documents that are linked then share
+a shingle outside the pivot, which makes new buckets, or have sizes that few have; those are split
+by further bands. No bucket emits all its pairs and none is cut short. Components come from
 alternating large and small stars; later links only walk the graph of the components so far.
 """
 
@@ -27,7 +29,7 @@ WORDS = 5
 BANDS, ROWS = 10, 4  # of each of the two collections
 SMALL = 20  # documents of a bucket that are compared pair by pair
 CENTRES = 3  # further centres of a bucket before that
-SPLITS = 3  # times that larger buckets are split by one more band
+SPLITS = 3  # times that larger buckets are dealt anew
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MEMO: dict[bytes, int] = {}
 
@@ -231,6 +233,39 @@ def components(
             "u bigint, v bigint",
         )
 
+    def place(rows):
+        for core, rep, label, pivot, x, c in rows:
+            a, b = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint64)
+            outer = np.setdiff1d(a, b, assume_unique=True)
+            n, both = len(a), len(a) - len(outer)
+            # a link covers ``percent`` of the set, so so many of its shingles lie outside the
+            # pivot; one of the first others is then among them
+            least = max(1, -(-percent * n // 100) - both)
+            outer = outer[: max(0, len(outer) - least + 1)].view(np.int64).tolist()
+            longest = both * (100 + percent) // percent - n
+            yield core, rep, label, pivot, n, longest, 100 * both >= percent * (n + len(b) - both), outer
+
+    def against_pivots(crowd: DataFrame) -> DataFrame:
+        """Each (core, rep, label) beside one document of its core, the pivot: whether they are
+        ``close``, the size of the ``longest`` set that can be linked with this one without
+        a common shingle outside the pivot, and the shingles ``outer`` to look for otherwise."""
+        crowd = written(crowd, "crowd")
+        first = crowd.filter("label = core").groupBy("core").agg(F.min("rep").alias("pivot"))
+        pivots = written(
+            first.join(full.select(F.col("doc").alias("pivot"), F.col("found").alias("c")), "pivot")
+            .dropDuplicates(["core"]),
+            "pivots",
+        )
+        placed = stream_rows(
+            crowd.join(full.select(F.col("doc").alias("rep"), F.col("found").alias("x")), "rep")
+            .join(pivots, "core")
+            .select("core", "rep", "label", "pivot", "x", "c"),
+            place,
+            "core bigint, rep bigint, label bigint, pivot bigint, n bigint, longest bigint,"
+            " close boolean, outer array<bigint>",
+        )
+        return written(placed, "placed")
+
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"  # sizes alone rule out the others
 
     # an id that stands for several sets links them
@@ -298,14 +333,13 @@ def components(
             .select("key", "label", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rep"))
             .select("key", F.col("rep").bitwiseXOR(mask).alias("rep"), F.lit(None).cast("bigint").alias("n"), "label")
         )
-        # the components of a bucket with too many to compare all meet the smallest one
-        crowd = groups.filter((F.col("size") > SMALL) & (F.col("parts") > SMALL // 2))
-        first = crowd.groupBy("key").agg(F.min("label").alias("v"))
-        star = (
-            crowd.select("key", F.col("lo").bitwiseXOR(mask).alias("u"), "label")
-            .join(first, "key")
-            .filter("u <> v and label <> v")
-            .select("u", "v")
+        # buckets with too many components to compare them all; the largest component is their core
+        cores = written(
+            groups.filter((F.col("size") > SMALL) & (F.col("parts") > SMALL // 2))
+            .groupBy("key")
+            .agg(F.max(F.struct("own", (-F.col("label")).alias("least"))).alias("c"))
+            .select("key", (-F.col("c.least")).alias("core")),
+            "cores",
         )
 
         def across(rows: DataFrame) -> DataFrame:
@@ -318,7 +352,6 @@ def components(
         fresh = written(
             across(few)
             .unionByName(across(many))
-            .unionByName(star)
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
             .distinct()
             .join(tested, ["u", "v"], "left_anti"),
@@ -329,22 +362,41 @@ def components(
             if not links.isEmpty():
                 labels = _joined(labels, links)
             tested = tested.unionByName(fresh)
-        crowded = crowd.select("key").distinct()
-        if depth == SPLITS or crowded.isEmpty():
+        if depth == SPLITS or cores.isEmpty():
             break
+        crowd = marked.join(cores, "key")
+        placed = against_pivots(crowd.select("core", "rep", "label").distinct())
+        onto = placed.filter("close and rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
+        if not onto.isEmpty():
+            labels = _joined(labels, onto)
+
+        # a pair that shares nothing outside its pivot: each is at most as long as the other allows
+        loose = F.when(F.col("label") != F.col("core"), F.col("longest"))
+        reach = placed.groupBy("core").agg(F.min("n").alias("low"), F.max(loose).alias("high"))
+        inside = (
+            placed.join(written(reach, "reach"), "core")
+            .filter("longest >= low and (label <> core or n <= high)")
+            .select("core", "rep")
+            .distinct()
+        )
         # two more bands in the keys, others for every bucket: a pair over the threshold shares
         # many buckets, and in each of them either band with more than even chance
         pick_two = F.array(*[F.pmod(F.shiftright("key", k), F.lit(2 * BANDS)) for k in (3, 23)])
-        members = _crowded(
-            marked.join(crowded, "key")
+        banded = (
+            crowd.join(inside, ["core", "rep"])
             .select("key", "rep", "n", F.explode(F.array_distinct(pick_two)).alias("i"))
             .join(active.select("rep", "bands").dropDuplicates(["rep"]), "rep")
             .select(
+                F.xxhash64("key", "i", F.element_at("bands", F.col("i").cast("int") + 1)).alias("key"),
                 "rep",
                 "n",
-                F.xxhash64("key", "i", F.element_at("bands", F.col("i").cast("int") + 1)).alias("key"),
             )
         )
+        # all others share a shingle outside it
+        outside = placed.select("core", "rep", "n", F.explode("outer").alias("shingle")).select(
+            F.xxhash64("core", "shingle").alias("key"), "rep", "n"
+        )
+        members = _crowded(banded.unionByName(outside))
 
     result = own.join(labels, F.col("rep") == F.col("node"), "left").select(
         "doc", F.coalesce("label", "rep").alias("component")

@@ -186,6 +186,16 @@ def test_near_duplicates(spark):
         texts[1000 + i] = " ".join(copy)
     for i in range(60):  # a passage in common, far from the threshold
         texts[3000 + i] = " ".join(base[9][:60]) + " " + " ".join(rng.choice(word, 50))
+    for i in range(240):  # many copies too far from most others, some with close copies or cuts of their own
+        copy = list(base[5])
+        for at in rng.integers(0, 120, rng.integers(0, 7)):
+            copy[at] = str(rng.choice(word))
+        texts[5000 + 3 * i] = " ".join(copy)
+        copy[int(rng.integers(0, 120))] = str(rng.choice(word))
+        if i % 3 == 0:
+            texts[5001 + 3 * i] = " ".join(copy)
+        if i % 4 == 0:
+            texts[5002 + 3 * i] = " ".join(copy[: 120 - int(rng.integers(0, 16))])
     docs = awkward(spark, [(i, t, "en", "a", len(t)) for i, t in texts.items()])
     got = rows(neardup.components(docs, percent=85))
     assert len(got) == docs.count()
