@@ -130,7 +130,7 @@ def keep_bitmaps(
     )
     closed = (
         decided.filter("kind = 1").select("h1", "h2", "doc", "body", "pos")
-        .join(edges, ["h1", "h2"])
+        .join(F.broadcast(edges), ["h1", "h2"])  # two a partition at most
         .filter(F.col("doc") != F.col("largest"))
     )
     dropped = decided.filter("kind = 0").select("doc", "body", "pos").unionByName(
