@@ -6,12 +6,13 @@ minhashes instead of 800. Documents with equal shingle sets are collapsed first.
 that share some A_i and some B_j with another one can meet in a table; the others never expand.
 
 Candidates are confirmed on their full shingle sets. Within a table's bucket each document first
-meets one centre, then a few others, which joins most groups of copies. Buckets that still hold several components
-are compared across them: document by document if they are small, two documents per component
-(others in each of the tables) if they are large with few components. With many, every document is
-set against one pivot of the bucket's largest component: two documents that are linked then share
-a shingle outside the pivot, which makes new buckets, or have sizes that few have; those are split
-by further bands. No bucket emits all its pairs and none is cut short. Components come from
+meets one centre, then a few others, which joins most groups of copies. Small buckets that still
+hold several components are compared document by document. In larger ones with few components two
+documents per component are tried (others in each of the tables), which only spares work. Every
+larger bucket that holds several components then is set against one pivot of its largest component:
+two documents that are linked share a shingle outside the pivot, which makes new buckets, or have
+sizes that few have, and those pairs are compared. Buckets that are still crowded after some such
+rounds are compared pair by pair across components; no pair that shares a table is left out. Components come from
 alternating large and small stars; later links only walk the graph of the components so far.
 """
 
@@ -29,7 +30,7 @@ WORDS = 5
 BANDS, ROWS = 10, 4  # of each of the two collections
 SMALL = 20  # documents of a bucket that are compared pair by pair
 CENTRES = 3  # further centres of a bucket before that
-SPLITS = 3  # times that larger buckets are dealt anew
+SPLITS = 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MEMO: dict[bytes, int] = {}
 
@@ -308,6 +309,31 @@ def components(
         labels = _joined(labels, confirmed(met))
         tested = tested.unionByName(met)
 
+    def across(rows: DataFrame, also: str = "true") -> DataFrame:
+        """Pairs of one key and different labels, of sizes that can be linked."""
+        other = rows.select(
+            "key",
+            F.col("rep").alias("v"),
+            *[F.col(c).alias("m" if c == "n" else f"{c}_") for c in rows.columns if c not in ("key", "rep")],
+        )
+        met = rows.join(other, "key").filter("rep > v and label <> label_")
+        return met.filter(f"n is null or {close}").filter(also).select(F.col("rep").alias("u"), "v")
+
+    def linked_by(pairs: DataFrame) -> DataFrame:
+        """The labels after those of the pairs (u, v) that were not tested before."""
+        nonlocal tested
+        fresh = written(
+            pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            .distinct()
+            .join(tested, ["u", "v"], "left_anti"),
+            "fresh",
+        )
+        if fresh.isEmpty():
+            return labels
+        tested = tested.unionByName(fresh)
+        links = written(confirmed(fresh), "links")
+        return labels if links.isEmpty() else _joined(labels, links)
+
     for depth in range(SPLITS + 1):
         marked = members.join(labels, F.col("rep") == F.col("node"), "left").select(
             "key", "rep", "n", F.coalesce("label", "rep").alias("label")
@@ -333,70 +359,64 @@ def components(
             .select("key", "label", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rep"))
             .select("key", F.col("rep").bitwiseXOR(mask).alias("rep"), F.lit(None).cast("bigint").alias("n"), "label")
         )
-        # buckets with too many components to compare them all; the largest component is their core
+        labels = linked_by(across(few).unionByName(across(many)))
+        # the larger buckets, whose components were only sampled so far, as they are now; the largest
+        # component is their core
+        large = marked.join(groups.filter(F.col("size") > SMALL).select("key").distinct(), "key")
+        left = (
+            large.select("key", "rep", "n")
+            .join(labels, F.col("rep") == F.col("node"), "left")
+            .select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
+        )
         cores = written(
-            groups.filter((F.col("size") > SMALL) & (F.col("parts") > SMALL // 2))
+            left.groupBy("key", "label")
+            .agg(F.count("*").alias("own"))
             .groupBy("key")
-            .agg(F.max(F.struct("own", (-F.col("label")).alias("least"))).alias("c"))
+            .agg(
+                F.max(F.struct("own", (-F.col("label")).alias("least"))).alias("c"),
+                F.count("*").alias("parts"),
+            )
+            .filter("parts > 1")
             .select("key", (-F.col("c.least")).alias("core")),
             "cores",
         )
-
-        def across(rows: DataFrame) -> DataFrame:
-            other = rows.select(
-                "key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("label").alias("label_")
+        if cores.isEmpty():
+            break
+        crowd = left.join(cores, "key")
+        if depth == SPLITS:
+            # what is still crowded is compared pair by pair, buckets of the same documents once
+            of_rep = F.xxhash64("rep"), F.xxhash64("rep", F.lit(1))
+            once = (
+                crowd.groupBy("key")
+                .agg(F.count("*").alias("c"), *[F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(of_rep)])
+                .groupBy("c", "h0", "h1")
+                .agg(F.min("key").alias("key"))
+                .select("key")
             )
-            met = rows.join(other, "key").filter("rep > v and label <> label_")
-            return met.filter(f"n is null or {close}").select(F.col("rep").alias("u"), "v")
-
-        fresh = written(
-            across(few)
-            .unionByName(across(many))
-            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-            .distinct()
-            .join(tested, ["u", "v"], "left_anti"),
-            "fresh",
-        )
-        if not fresh.isEmpty():
-            links = written(confirmed(fresh), "links")
-            if not links.isEmpty():
-                labels = _joined(labels, links)
-            tested = tested.unionByName(fresh)
-        if depth == SPLITS or cores.isEmpty():
+            rest = written(crowd.join(once, "key").select("key", "rep", "n", "label"), "rest")
+            labels = linked_by(across(rest))
             break
-        crowd = marked.join(cores, "key")
         placed = against_pivots(crowd.select("core", "rep", "label").distinct())
         onto = placed.filter("close and rep <> pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v"))
         if not onto.isEmpty():
             labels = _joined(labels, onto)
 
         # a pair that shares nothing outside its pivot: each is at most as long as the other allows
+        inner = placed.withColumn("label", F.when(F.col("close"), F.col("core")).otherwise(F.col("label")))
         loose = F.when(F.col("label") != F.col("core"), F.col("longest"))
-        reach = placed.groupBy("core").agg(F.min("n").alias("low"), F.max(loose).alias("high"))
-        inside = (
-            placed.join(written(reach, "reach"), "core")
+        reach = inner.groupBy("core").agg(F.min("n").alias("low"), F.max(loose).alias("high"))
+        inside = written(
+            inner.join(written(reach, "reach"), "core")
             .filter("longest >= low and (label <> core or n <= high)")
-            .select("core", "rep")
-            .distinct()
-        )
-        # two more bands in the keys, others for every bucket: a pair over the threshold shares
-        # many buckets, and in each of them either band with more than even chance
-        pick_two = F.array(*[F.pmod(F.shiftright("key", k), F.lit(2 * BANDS)) for k in (3, 23)])
-        banded = (
-            crowd.join(inside, ["core", "rep"])
-            .select("key", "rep", "n", F.explode(F.array_distinct(pick_two)).alias("i"))
-            .join(active.select("rep", "bands").dropDuplicates(["rep"]), "rep")
-            .select(
-                F.xxhash64("key", "i", F.element_at("bands", F.col("i").cast("int") + 1)).alias("key"),
-                "rep",
-                "n",
-            )
+            .select(F.col("core").alias("key"), "rep", "n", "longest", "label"),
+            "inside",
         )
+        labels = linked_by(across(inside, "n <= longest_ and m <= longest"))
         # all others share a shingle outside it
         outside = placed.select("core", "rep", "n", F.explode("outer").alias("shingle")).select(
             F.xxhash64("core", "shingle").alias("key"), "rep", "n"
         )
-        members = _crowded(banded.unionByName(outside))
+        members = _crowded(outside)
 
     result = own.join(labels, F.col("rep") == F.col("node"), "left").select(
         "doc", F.coalesce("label", "rep").alias("component")

@@ -223,6 +223,29 @@ def test_near_duplicates(spark):
     assert not rows(neardup.components(empty(spark)))
 
 
+def test_near_duplicates_linked_with_one_of_many(spark):
+    """A cut of a text is near that text only, not its many edited copies, and shares no shingle
+    with it that most of them do not have."""
+    rng = np.random.default_rng(12)
+    texts, cuts = {}, {}
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(204)]
+        for i in range(1, 512):
+            copy = list(base)
+            if i != 80:
+                copy[int(rng.integers(5, 160))] = f"g{g}e{i}"
+            texts[1000 * g + i] = " ".join(copy)
+        del texts[1000 * g + 300]
+        cuts[1000 * g + 300] = " ".join(base[:175])
+    sets = {i: set(neardup.shingles(t).tolist()) for i, t in (texts | cuts).items()}
+    for i in cuts:
+        near = [j for j in texts if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+        assert near == [i - 220]
+    docs = spark.createDataFrame(list((texts | cuts).items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in rows(neardup.components(docs, percent=85))}
+    assert got == {i: i // 1000 * 1000 + 1 for i in got}
+
+
 def test_labels_follow_all_links(spark):
     """Components of random graphs and of a chain, labelled at once and after further links."""
     rng = np.random.default_rng(5)
