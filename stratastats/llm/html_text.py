@@ -1,9 +1,11 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines (one per block element). Text that sits in page furniture or in links
-weighs nothing. The lengths of the lines are summed over a sliding window; where the sum surges
-over a threshold a stretch of content begins, where it dives to nothing it ends, and the lines
-between are kept. If a page names its article (``article``, ``main``), only that can weigh.
+Markup is stripped to lines (one per block element). Page furniture is taken out and text in links
+weighs nothing. The weights of the lines are summed over a sliding window; where the sum surges
+from nothing a stretch begins, where it dives to nothing it ends, and the lines between are kept if
+their weight is at least half of their length. No length of another stretch matters. In what a page
+names as its article (``article``, ``main``) links weigh a third and furniture leaves no gap; what
+lies outside is judged like any page.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ _ROLES = set(
 )
 
 WINDOW = 3  # lines that a block spans
-SHARE = 0.1  # of the largest block, that a stretch must reach
+NAMED = 1 / 3  # weight of links in what the page names as its article
 
 
 def _is_furniture(tag: str, attrs: str) -> bool:
@@ -96,11 +98,10 @@ def _spans(tags: list, opens: list[int]) -> dict[int, int]:
     return found
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines of (text, weight, may be kept), and whether the page names its article.
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """Lines of (text, length without links, length of links, whether the page names it as article).
 
-    The weight is the length without links, 0 for page furniture; in a named article every
-    length counts in full.
+    Furniture has neither text nor lengths.
     """
     tags = _tags(page)
     furniture = [i for i, t in enumerate(tags) if t[2] and not t[3] and _is_furniture(t[2], t[4])]
@@ -117,23 +118,22 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         and (tags[a][2] != "article" or not any(x < a and b < y for x, y in drop.items()))
     }
     drop = {a: b for a, b in drop.items() if not any(a < x and y < b for x, y in keep.items())}
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
     links = at = 0
     in_link = False
     dropped = -1
     deep = 0
     ends = set()
-    gap = [("", 0, False)]
+    gap = [("", 0, 0, False)]
 
     def end_line():
         nonlocal parts, links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                weight = len(text) if keep else max(0, len(text) - links)
-                inside = deep > 0 or not keep
-                lines.append((text, weight if inside else 0, inside))
+                linked = min(links, len(text))
+                lines.append((text, len(text) - linked, linked, deep > 0))
         parts, links = [], 0
 
     def take(raw: str):
@@ -150,7 +150,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if dropped >= 0:
             if i == dropped:
                 dropped = -1
-                lines.extend(gap)
+                if not deep:
+                    lines.extend(gap)
             continue
         if tag == "a":
             in_link = not closing
@@ -158,7 +159,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             end_line()
         if i in drop:
             dropped = drop[i]
-            lines.extend(gap * WINDOW)
+            if not deep:
+                lines.extend(gap * WINDOW)
         elif i in keep:
             deep += 1
             ends.add(keep[i])
@@ -167,18 +169,16 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     if dropped < 0:
         take(page[at:])
     end_line()
-    return lines, bool(keep)
+    return lines
 
 
 def main_text(page: str | None) -> str:
     """The kept lines, joined by one space; empty for a null or empty page."""
-    lines, named = lines_of(page or "")
-    weights = [w for _, w, _ in lines]
+    lines = lines_of(page or "")
     n = len(lines)
+    # what the page names as its article weighs more: its links count in part
+    weights = [own + NAMED * linked if named else own for _, own, linked, named in lines]
     blocks = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    if not any(blocks):
-        return ""
-    threshold = 1 if named else max(1, SHARE * max(blocks))
     kept: list[str] = []
     i = 0
     while i < n:
@@ -188,9 +188,10 @@ def main_text(page: str | None) -> str:
         j = i
         while j < n and blocks[j]:
             j += 1  # the dive: a whole window without text
-        if max(blocks[i:j]) >= threshold:  # the surge
-            kept += [t for t, _, inside in lines[i : j + WINDOW - 1] if inside]
-        i = j + WINDOW - 1 if j < n else j
+        end = min(n, j + WINDOW - 1)
+        if 2 * sum(weights[i:end]) >= sum(own + linked for _, own, linked, _ in lines[i:end]):
+            kept += [line[0] for line in lines[i:end] if line[0]]
+        i = end
     return " ".join(kept)
 
 

@@ -111,6 +111,21 @@ def test_html_text(spark, folder):
         assert html_text.main_text(r["html"]) == " ".join(t for t in texts if t)
 
 
+def test_html_text_by_line_blocks():
+    """What is kept does not hang on an article tag or on the longest paragraph."""
+    huge, advert = "A very long story goes on. " * 2000, "<div class=ad>Buy</div>"
+    story = f"<p>{huge}</p>{advert}<p>A short paragraph.</p>{advert}<p>The end.</p>"
+    for tag in ("div", "article", "main"):
+        want = huge + "A short paragraph. The end."
+        assert html_text.main_text(f"<body><{tag}>{story}</{tag}></body>") == want
+    teasers = "".join(f"<article class=card><p>Teaser {i}</p></article>" for i in range(3))
+    found = html_text.main_text(f"<body><div><p>{'The body of the page. ' * 30}</p></div>{teasers}</body>")
+    assert found.count("The body of the page.") == 30 and "Teaser 2" in found
+    links = "<p><a href=x>Some other page</a></p>" * 20
+    assert html_text.main_text(f"<main>{links}</main>") == ""
+    assert html_text.main_text(f"<main><p>{'Text with references. ' * 40}</p>{advert}{links}</main>").count("other page") == 20
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     made = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(700)]
