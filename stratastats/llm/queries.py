@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import balltree, curriculum, html_text, imatch, language, lines, neardup, pieces, quality, token_store
+from . import (
+    balltree, curriculum, hosts, html_text, imatch, language, lines, neardup, negatives, pieces,
+    quality, spelling, token_store,
+)
 from .common import id_fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +189,113 @@ def op9_token_store(spark: SparkSession, folder: str) -> DataFrame:
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return imatch.edited_digests(docs, imatch.lexicon(docs))
+
+
+_OP11 = r"""
+with d as (
+  select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents
+),
+m as (
+  select rid, doc_id, source, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+  from d
+),
+windows as (
+  select rid, i, array_to_string(words[i:i + 7], ' ') as w
+  from (select rid, words, unnest(range(1, len(words) - 6)) as i from m where len(words) >= 8)
+),
+twice as (
+  select rid, i - lag(i, 1, -1000) over (partition by rid order by i) as step
+  from (select rid, i, count(*) over (partition by rid, w) as c from windows) where c > 1
+),
+covered as (select rid, sum(least(8, step))::bigint as n from twice group by rid),
+counts as (
+  select rid, doc_id, source, len(words)::bigint as n_words,
+         length(array_to_string(words, ''))::bigint as word_chars, n_symbols::bigint as n_symbols,
+         len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+         coalesce(c.n, 0)::bigint as n_repeat_words
+  from m left join covered c using (rid)
+),
+judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+         100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 30 * n_lines
+           or 100 * word_chars > 1000 * n_words or 100 * word_chars < 300 * n_words as tight,
+         100 * n_symbols > 50 * n_words or 100 * n_dup_lines > 60 * n_lines
+           or 100 * word_chars > 1500 * n_words or 100 * word_chars < 200 * n_words as wide
+  from counts
+),
+h as (
+  select source, count(*)::double as n, count(*) filter (base_failed or tight)::double as f
+  from judged group by source
+),
+p as (
+  select sum(n) as n, sum(f) / sum(n) as p, sum(n * n) as nn,
+         sum(f * f / n) - sum(f) * sum(f) / sum(n) as spread, count(source) - 1.0::double as many
+  from h
+),
+g as (
+  select *, (spread - p * (1 - p) * many) / nullif(p * (1 - p) * (n - nn / n - many), 0) as between_hosts from p
+),
+prior as (
+  select p, case when between_hosts > 0 then least(greatest(1 / between_hosts - 1, 0), n) else n end as weight
+  from g
+),
+rates as (
+  select source, case when source is null then p else (f + p * weight) / (h.n + weight) end as rate
+  from h, prior
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not wide and rate < 0.5 and not (rate >= 0.25 and tight) as kept,
+       round(rate, 6) as host_rate,
+       case when rate >= 0.5 then 'blocked' when rate >= 0.25 then 'strict' else 'trusted' end as host_verdict
+from judged j join rates r on j.source is not distinct from r.source
+"""
+
+
+@_query("op11_host_rules", _OP11)
+def op11_host_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = hosts.judged(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"), "host_verdict",
+    )
+
+
+@_query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    words = spelling.counted_words(table(spark, folder, "documents"), misspell=31)
+    return spelling.variants(words, times=10)
+
+
+_OP13 = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as alike,
+         list_sum(list_transform(list_zip(a.v, r.v), lambda p: p[1] * p[2]))::bigint as score
+  from e a join e r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id and len(a.v) = len(r.v)
+),
+positives as (
+  select * from scored where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score,
+       n.score as negative_score,
+       row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id)::int as rank
+from positives p join scored n on p.anchor_id = n.anchor_id and not n.alike
+     and 80 * p.score <= 100 * n.score and n.score <= p.score
+qualify rank <= 5
+"""
+
+
+@_query("op13_hard_negatives", _OP13)
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = negatives.quantised(table(spark, folder, "embeddings"), 256, label=label)
+    return negatives.hard_negatives(vectors, vectors.filter("vec_id % 100 = 0"))
