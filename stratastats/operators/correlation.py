@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import nan_as_null
 from ..sources.scratch import written
-from .rank import average_rank
+from .rank import TASK_ROWS, average_rank
 
 
 def spearman(
@@ -19,7 +19,7 @@ def spearman(
     by: Sequence[str] = (),
     pairs: Sequence[tuple[str, str]] | None = None,
     stored: bool = False,
-    parts: int | None = None,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Long table ``by..., a, b, rho``; all ordered pairs unless ``pairs`` names some.
 
@@ -45,7 +45,7 @@ def spearman(
     for pair in wanted:
         scopes.setdefault(tuple(sorted(partial & set(pair))), []).append(pair)
 
-    cells, names = [], {}
+    cells, names, values = [], {}, 0
     for number, (needed, members) in enumerate(scopes.items()):
         complete = F.lit(True)
         for c in needed:
@@ -54,10 +54,12 @@ def spearman(
             slot = F.struct(F.lit(len(names)).alias("_slot"), F.col(c).alias("_value"))
             cells.append(F.when(complete, slot))
             names[number, c] = f"r{len(names)}"
+            values += counts[c]  # an upper bound where rows are missing
     # A slot is one column on one set of complete rows.
     long = slim.select(*key, *by, F.inline(F.array_compact(F.array(*cells))))
     ranked = average_rank(
-        long, "_value", [*key, "_slot"], [*by, "_slot"], "_rank", parts, keep_nulls=False
+        long, "_value", [*key, "_slot"], [*by, "_slot"], "_rank", task_rows, keep_nulls=False,
+        rows=values,
     )
     wide = ranked.groupBy(*by, *key).agg(
         *[

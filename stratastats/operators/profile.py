@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions import nan_as_null
-from .quantiles import SMALL_GROUP_ROWS, grouped_percentiles
+from .quantiles import TASK_ROWS, grouped_percentiles
 
 
 def _missing(df: DataFrame, name: str) -> Column:
@@ -56,7 +56,7 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe_numeric(
-    df: DataFrame, columns: Sequence[str], small_group_rows: int = SMALL_GROUP_ROWS
+    df: DataFrame, columns: Sequence[str], task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """``column, count, mean, std, min, q25, q50, q75, max`` with exact quartiles.
 
@@ -77,7 +77,7 @@ def describe_numeric(
     cells = [F.struct(F.lit(i).alias("slot"), F.col(c).alias("value")) for i, c in enumerate(columns)]
     quartiles = grouped_percentiles(
         values.select(F.inline(F.array(*cells))), ["slot"], "value", [0.25, 0.5, 0.75],
-        small_group_rows, stored=True,
+        task_rows, stored=True,
     )
     names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("slot") + 1)
     quartiles = quartiles.select(names.alias("column"), "percentiles")

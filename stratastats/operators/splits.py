@@ -1,10 +1,12 @@
-"""Cutting a numeric column into value ranges of about equal row count.
+"""Cutting a numeric column into value ranges of about equal row count, on two levels.
 
-Ranks and exact percentiles both need "how many rows are smaller". The ranges
-give that without a sort in one task: count per range, add the counts up, and
-order rows only inside their own range. The cut points are literals, so a row's
-range is a pure function of its value and a re-run task always agrees with the
-first one.
+Ranks need "how many rows are smaller". The ranges give that without a sort in one task: count
+per range, add the counts up, and order rows only inside their own range. The coarse cut points
+are a fixed number of literals. Where one range of them holds more rows than a task should order,
+every coarse range is cut again at points of its own, kept in a stored table that rows meet by
+their coarse range; their number follows from the rows and has no limit. A cut point is a range
+by itself, so a value that fills a quantile never shares its range. A row's range is a pure
+function of its value and of stored points, so a re-run task always agrees with the first run.
 """
 
 from __future__ import annotations
@@ -15,59 +17,78 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-MIN_PARTS, MAX_PARTS = 512, 4096
-SAMPLE_ROWS = 1_000_000
+from ..sources.scratch import written
+
+COARSE = 256
+SAMPLE_ROWS = 1_000_000  # for the coarse points
+SAMPLE_PER_RANGE = 200  # for the fine ones
+BROADCAST_POINTS = 1_000_000  # 8 MB
 
 
 @dataclass(frozen=True)
-class Splits:
+class Ranges:
     points: tuple[float, ...]
-    hot: tuple[int, ...]  # ranges that hold one single, frequent value
-    groups: int  # estimated number of groups ranked side by side
-
-    @property
-    def ranges(self) -> int:
-        return len(self.points) - 1
+    fine: DataFrame | None = None  # (_coarse, _points): sorted, padded with infinity
+    size: int = 1  # fine points per coarse range, a power of two less one
 
 
-def find_splits(
-    df: DataFrame, value: str, by: list[str], parts: int | None = None, rows: int | None = None
-) -> Splits:
-    """Cut points near the quantiles of ``value``; at most ``MAX_PARTS`` reach the driver.
+def find_ranges(df: DataFrame, value: str, rows: int, task_rows: int) -> Ranges:
+    """Cut points near the quantiles of the non-null double ``value`` of ``rows`` rows.
 
-    They only balance the ranges, so beyond ``SAMPLE_ROWS`` rows they come from a
-    sample, as a range partitioner's do: the quantile summaries of every task meet in
-    one, and must stay small. A value that spans several quantiles gets a range of its
-    own, so that its rows, however many, need no ordering.
+    They only balance the ranges, so they come from samples: the quantile summaries of every
+    task meet in one, and must stay small.
     """
-    if parts is None:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = max(MIN_PARTS, min(parts, MAX_PARTS))
-    groups = 1
-    if rows is None:
-        counted = F.approx_count_distinct(F.struct(*by)) if by else F.lit(1)
-        rows, groups = df.agg(F.count("*"), counted).first()
-    fraction = SAMPLE_ROWS / max(rows, 1)
-    sample = df if fraction >= 1 else df.sample(fraction, seed=1)
-    probs = [i / parts for i in range(1, parts)]
-    row = sample.agg(F.percentile_approx(value, probs, max(10_000, 10 * parts)).alias("q")).first()
-    quantiles = [0.0 if q == 0 else q for q in (row.q or [])]
-    frequent = {a for a, b in zip(quantiles, quantiles[1:]) if a == b and math.isfinite(a)}
-    cuts = set(quantiles) | {math.nextafter(v, math.inf) for v in frequent}
-    points = [-math.inf, *sorted(c for c in cuts if math.isfinite(c)), math.inf]
-    hot = [
-        i
-        for i, (a, b) in enumerate(zip(points, points[1:]))
-        if a in frequent and b == math.nextafter(a, math.inf)
-    ]
-    return Splits(tuple(points), tuple(hot), int(groups))
-
-
-def with_range(df: DataFrame, value: str, splits: Splits, out: str) -> DataFrame:
-    """Add the range number of a non-null double column (binary search on the JVM)."""
-    if splits.ranges < 2:
-        return df.withColumn(out, F.lit(0))
-    cut = Bucketizer(
-        splits=list(splits.points), inputCol=value, outputCol=out, handleInvalid="keep"
+    row = (
+        _sample(df, SAMPLE_ROWS, rows)
+        .agg(F.percentile_approx(value, [i / COARSE for i in range(1, COARSE)], 10_000).alias("q"))
+        .first()
     )
-    return cut.transform(df).withColumn(out, F.col(out).cast("int"))
+    cuts = {0.0 if q == 0 else q for q in (row.q or []) if math.isfinite(q)}
+    cuts |= {math.nextafter(q, math.inf) for q in cuts}
+    ranges = Ranges((-math.inf, *sorted(c for c in cuts if math.isfinite(c)), math.inf))
+
+    each = -(-rows // (COARSE * task_rows))
+    if each < 2:
+        return ranges
+    size = 2 ** math.ceil(math.log2(each + 1)) - 1
+    sample = _sample(df, SAMPLE_PER_RANGE * COARSE * (size + 1), rows)
+    probes = [i / (size + 1) for i in range(1, size + 1)]
+    points = F.array_distinct(F.percentile_approx(value, probes, max(1000, 10 * size)))
+    padding = F.array_repeat(F.lit(math.inf), size)
+    fine = with_range(sample, value, ranges, "_coarse").groupBy("_coarse").agg(
+        F.slice(F.concat(points, padding), 1, size).alias("_points")
+    )
+    return Ranges(ranges.points, written(fine, "points"), size)
+
+
+def _sample(df: DataFrame, wanted: int, rows: int) -> DataFrame:
+    return df if rows <= wanted else df.sample(wanted / rows, seed=1)
+
+
+def with_range(df: DataFrame, value: str, ranges: Ranges, out: str) -> DataFrame:
+    """Add the number of a non-null double's range; a larger value never has a smaller number.
+
+    Binary search on both levels, on the JVM.
+    """
+    if len(ranges.points) <= 2:
+        coarse = df.withColumn(out, F.lit(0).cast("bigint"))
+    else:
+        cut = Bucketizer(
+            splits=list(ranges.points), inputCol=value, outputCol=out, handleInvalid="keep"
+        )
+        coarse = cut.transform(df).withColumn(out, F.col(out).cast("bigint"))
+    if ranges.fine is None:
+        return coarse
+    fine = ranges.fine
+    if len(ranges.points) * ranges.size <= BROADCAST_POINTS:
+        fine = F.broadcast(fine)
+    # A range that the sample missed has no points and stays whole
+    found = coarse.join(fine.withColumnRenamed("_coarse", out), out, "left")
+    step, at = (ranges.size + 1) // 2, F.lit(0)
+    while step:
+        passed = F.get("_points", at + (step - 1)) <= F.col(value)
+        found = found.withColumn("_at", at + F.coalesce(passed, F.lit(False)).cast("int") * step)
+        step, at = step // 2, F.col("_at")
+    equal = F.coalesce(F.get("_points", at - 1) == F.col(value), F.lit(False))
+    number = F.col(out) * (2 * ranges.size + 2) + 2 * at - equal.cast("int")
+    return found.withColumn(out, number.cast("bigint")).select(*df.columns, out)

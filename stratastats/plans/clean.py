@@ -23,7 +23,7 @@ from ..functions import (
 from ..levels import parse_level
 from ..operators.aggregates import carry_first, group_sum
 from ..operators.hierarchy import roll_up
-from ..operators.quantiles import SMALL_GROUP_ROWS, grouped_median
+from ..operators.quantiles import TASK_ROWS, grouped_median
 from . import presets
 
 
@@ -34,7 +34,7 @@ def clean_prices(
     equals: Mapping[str, str] = presets.PRICE_EQUALS,
     excluded_parent: str = presets.PRICE_EXCLUDED_PARENT,
     digits: int = presets.SIGNIFICANT_DIGITS,
-    small_group_rows: int = SMALL_GROUP_ROWS,
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """Median price per place in one year, rounded to significant digits.
 
@@ -53,7 +53,7 @@ def clean_prices(
     carry = {"price_code": "parent_code"}
     if level == "child":
         carry["parent_name"] = "parent_name"
-    median = grouped_median(rows, by, "price", "price", small_group_rows, carry)
+    median = grouped_median(rows, by, "price", "price", task_rows, carry)
     median = median.withColumn("price", round_significant("price", digits))
     return median.withColumnsRenamed({"region_label": "price_label"})
 

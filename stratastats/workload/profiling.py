@@ -206,7 +206,7 @@ def describe_numeric_(spark, folder):
 @query("describe_large_columns", _DESCRIBE_SQL)
 def describe_large_columns(spark, folder):
     """The same figures on the path for columns too long for one task."""
-    described = describe_numeric(table(spark, folder, "lineitem"), _DESCRIBED, small_group_rows=0)
+    described = describe_numeric(table(spark, folder, "lineitem"), _DESCRIBED, task_rows=2000)
     return rounded(described, "mean", "std", "q25", "q50", "q75", places=4)
 
 

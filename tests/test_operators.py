@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from stratastats import functions as fn, operators as op
-from stratastats.operators.splits import find_splits, with_range
+from stratastats.operators.splits import find_ranges, with_range
 
 
 def skewed(n=4000, seed=1):
@@ -24,27 +24,49 @@ def skewed(n=4000, seed=1):
     return pd.DataFrame({"id": np.arange(n), "g": g, "x": x})
 
 
-@pytest.mark.parametrize("parts", [2, 7, 64])
+@pytest.mark.parametrize("task_rows", [10**6, 100, 2])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_average_rank_matches_pandas(spark, parts, by):
+def test_average_rank_matches_pandas(spark, task_rows, by):
     pdf = skewed()
     df = spark.createDataFrame(pdf).repartition(5)
-    got = op.average_rank(df, "x", ["id"], by, parts=parts).toPandas().set_index("id").sort_index()
+    got = op.average_rank(df, "x", ["id"], by, task_rows=task_rows).toPandas().set_index("id").sort_index()
     want = (pdf.groupby("g").x if by else pdf.x).rank()
     np.testing.assert_array_equal(got.avg_rank.to_numpy(), want.to_numpy())
     assert len(got) == len(pdf)
 
 
-def test_frequent_value_has_its_own_range_and_is_spread(spark):
-    df = spark.createDataFrame(skewed()).where(~F.isnan("x"))
-    splits = find_splits(df, "x", [], parts=16)
-    assert splits.hot
-    binned = with_range(df, "x", splits, "r")
-    for r in splits.hot:
-        assert binned.where(F.col("r") == r).select("x").distinct().count() == 1
-    ranked = op.average_rank(df, "x", ["id"], parts=16)
-    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
-    assert "_spread" in plan and "xxhash64(id" in plan
+@pytest.mark.parametrize("task_rows", [10**6, 30, 2])
+def test_ranges_keep_the_order_and_part_frequent_values(spark, task_rows):
+    df = spark.createDataFrame(skewed()).where(~F.isnan("x")).select(fn.nan_as_null("x").alias("x"))
+    rows = df.count()
+    binned = with_range(df, "x", find_ranges(df, "x", rows, task_rows), "r")
+    assert binned.columns == ["x", "r"] and binned.count() == rows
+    found = sorted((r.r, r.least, r.most, r.n) for r in binned.groupBy("r").agg(
+        F.min("x").alias("least"), F.max("x").alias("most"), F.count("*").alias("n")).collect())
+    assert all(a[2] < b[1] for a, b in zip(found, found[1:]))
+    assert max((n for _, least, most, n in found if least < most), default=0) <= max(task_rows, 60)
+    assert any(least == most == 0.5 and n > rows / 4 for _, least, most, n in found)
+
+
+def test_number_of_ranges_follows_the_rows(spark):
+    """No fixed number of ranges: 20,000 different values, some four of them to a task."""
+    df = spark.range(20_000).select((F.col("id") * 0.5).alias("x"))
+    ranges = find_ranges(df, "x", 20_000, 4)
+    assert ranges.size >= 20
+    counts = with_range(df, "x", ranges, "r").groupBy("r").count()
+    assert counts.count() > 4096 and counts.agg(F.max("count")).first()[0] <= 16
+
+
+def test_a_value_of_one_percent_is_spread_when_tasks_are_small(spark):
+    pdf = pd.DataFrame({"id": np.arange(8000), "x": np.arange(8000.0)})
+    pdf.loc[pdf.id % 100 == 7, "x"] = 17.25
+    df = spark.createDataFrame(pdf)
+    for task_rows, spread in ((10**6, False), (20, True)):
+        ranked = op.average_rank(df, "x", ["id"], task_rows=task_rows)
+        plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+        assert ("xxhash64(id" in plan) == spread
+        got = ranked.toPandas().set_index("id").sort_index()
+        np.testing.assert_array_equal(got.avg_rank.to_numpy(), pdf.x.rank().to_numpy())
 
 
 def test_cut_points_from_a_sample_give_the_same_ranks(spark, monkeypatch):
@@ -64,7 +86,7 @@ def test_many_groups_take_the_unhinted_joins(spark, monkeypatch):
     df = spark.createDataFrame(pdf)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        ranked = op.average_rank(df, "x", ["id"], ["g"], parts=16)
+        ranked = op.average_rank(df, "x", ["id"], ["g"], task_rows=100)
         assert "BroadcastHashJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
         got = ranked.toPandas().set_index("id").sort_index()
         np.testing.assert_array_equal(got.avg_rank.to_numpy(), pdf.groupby("g").x.rank().to_numpy())
@@ -79,7 +101,7 @@ def test_many_groups_take_the_unhinted_joins(spark, monkeypatch):
 @given(st.lists(st.sampled_from([-2.5, -0.0, 0.0, 1.0, 1.0, 7.25, None]), min_size=1, max_size=30))
 def test_average_rank_property(spark, xs):
     df = spark.createDataFrame(list(enumerate(xs)), "id int, x double")
-    got = {r.id: r.avg_rank for r in op.average_rank(df, "x", ["id"], parts=4).collect()}
+    got = {r.id: r.avg_rank for r in op.average_rank(df, "x", ["id"], task_rows=4).collect()}
     want = pd.Series([np.nan if x is None else x for x in xs]).rank()
     assert [got[i] for i in range(len(xs))] == [None if math.isnan(w) else w for w in want]
 
@@ -107,11 +129,44 @@ def test_grouped_percentiles_match_numpy(spark, limit):
         np.testing.assert_allclose(seen[g].percentiles, np.quantile(part, probs), rtol=0, atol=1e-12)
 
 
+def test_percentiles_do_not_depend_on_the_cuts(spark):
+    """Equal to the last bit whatever a task takes, and to the formula itself."""
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.integers(0, 40, 6000), "x": rng.normal(size=6000) * 10.0 ** rng.integers(-8, 9, 6000)})
+    pdf.loc[pdf.g < 3, "g"] = 0
+    pdf.loc[rng.random(6000) < 0.3, "x"] = 0.1
+    df = spark.createDataFrame(pdf)
+    probs = [0.1, 0.3, 0.5, 0.9, 0.99]
+
+    def formula(x, p):
+        x = np.sort(x)
+        at = (len(x) - 1) * p
+        low, high, share = x[math.floor(at)], x[math.ceil(at)], at - math.floor(at)
+        return low if low == high else low * (1 - share) + high * share
+
+    want = {g: [formula(x.to_numpy(), p) for p in probs] for g, x in pdf.groupby("g").x}
+    for task_rows in (10**9, 150, 20, 1):
+        got = op.grouped_percentiles(df.repartition(3), ["g"], "x", probs, task_rows).collect()
+        assert {r.g: list(r.percentiles) for r in got} == want
+
+
+def test_only_cuts_that_hold_a_wanted_place_are_ordered(spark):
+    df = spark.range(50_000).select((F.col("id") % 2).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("double").alias("x"))
+    picked = op.grouped_percentiles(df, ["g"], "x", [0.5], 500)
+    picked.collect()
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "collect_list" not in plan
+    sorted_rows = op.quantiles._selected(
+        df.select("g", F.col("x").alias("_v")), df.groupBy("g").agg(F.count("*").alias("n")), ["g"], [0.5], 500, 2
+    )
+    assert sorted_rows.count() < 2_000
+
+
 def test_grouped_median_small_cases(spark):
     df = spark.createDataFrame(
         [("a", 1.0), ("a", 4.0), ("b", None), ("c", 5.0), (None, 9.0)], "g string, x double"
     )
-    for limit in (10, 0):
+    for limit in (10, 1):
         got = {r.g: r.m for r in op.grouped_median(df, ["g"], "x", "m", limit).collect()}
         assert got["a"] == 2.5 and got["c"] == 5.0 and got.get("b") is None and None not in got
 

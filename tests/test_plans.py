@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stratastats.operators import average_rank, grouped_percentiles, merge_sources, top_n
+from stratastats.operators import average_rank, merge_sources, top_n
 from stratastats.plans import bucket_drift, clean_attributes, clean_facts, clean_prices, presets
 from stratastats.plans import ratio_extremes, with_ratios
 from stratastats.workload import QUERIES
@@ -79,9 +79,9 @@ def test_clean_prices(spark):
         "parent_name string, parent_code string, region_label string, price double",
     )
     for limit in (100, 0):
-        state = rows_by(clean_prices(df, "STATE", small_group_rows=limit), "parent_name")
+        state = rows_by(clean_prices(df, "STATE", task_rows=limit), "parent_name")
         assert {k[0]: (r.price, r.price_code) for k, r in state.items()} == {"Ohio": (61778.4, "OH")}
-        county = rows_by(clean_prices(df, "COUNTY", small_group_rows=limit), "price_label")
+        county = rows_by(clean_prices(df, "COUNTY", task_rows=limit), "price_label")
         assert {k[0]: (r.price, r.parent_name) for k, r in county.items()} == {
             "A County, OH": (61778.4, "Ohio"), "D County, XX": (7.0, None),
         }
@@ -196,12 +196,6 @@ def test_rank_has_one_row_shuffle(spark, folder):
     assert main.count("Exchange hashpartitioning") == 1 and "SinglePartition" not in main
 
 
-def test_large_group_percentile_has_no_builtin_percentile(spark, folder):
-    orders = spark.read.parquet(f"{folder}/orders.parquet")
-    plan = physical(grouped_percentiles(orders, ["o_orderstatus"], "o_totalprice", [0.5], 0))
-    assert "percentile(" not in plan and "collect_list" not in plan
-
-
 def test_drift_reads_the_data_once(spark, folder):
     plan = physical(QUERIES["drift_by_code"](spark, folder))
     assert plan.count("FileScan parquet [l_orderkey") == 1
