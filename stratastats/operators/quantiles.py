@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import nan_as_null
 from ..sources.scratch import written
 from .aggregates import carried
+from .splits import with_cut
 
 TASK_ROWS = 250_000  # rows of one group, or of one cut of it, that a task puts in order
 PIVOTS = 31
@@ -132,24 +133,20 @@ def _selected(
         if cells <= BROADCAST_ROWS:
             pivots = F.broadcast(pivots)
         # Odd cuts are the pivots themselves, even ones what lies between
-        cut = F.lit(0)
-        for i in range(PIVOTS):
-            pivot = F.get("_pivots", F.lit(i))
-            for passed in (F.col("_v") > pivot, F.col("_v") >= pivot):
-                cut = cut + F.coalesce(passed.cast("int"), F.lit(0))
-        binned = rows.join(pivots, cell).select(*cell, "n", "_v", "_below", cut.alias("_cut"))
+        binned = with_cut(rows.join(pivots, cell), "_pivots", PIVOTS, "_v", "_cut").drop("_pivots")
         upto = F.sum("_rows").over(Window.partitionBy(*cell).orderBy("_cut"))
         cuts = written(
             binned.groupBy(*cell, "n", "_below", "_cut")
             .agg(F.count("*").alias("_rows"), F.min("_v").alias("_v"))
             .withColumn("_to", F.col("_below") + upto)
             .withColumn("_from", F.col("_to") - F.col("_rows"))
+            # A column of its own: a condition on ``_cut`` would be carried over to the rows
+            .withColumn("_single", F.col("_cut") % 2 == 1)
             .where(wanted(F.col("_from"), F.col("_to"))),
             "cuts",
         )
-        single = F.col("_cut") % 2 == 1
-        found.append(cuts.where(single).select(*by, "n", "_from", "_to", "_v"))
-        more = cuts.where(~single)
+        found.append(cuts.where("_single").select(*by, "n", "_from", "_to", "_v"))
+        more = cuts.where("not _single")
         fits = F.col("_rows") <= (task_rows if number + 1 < MOST_ROUNDS else 2**63 - 1)
         left = more.agg(F.count("*").alias("cells"), F.count_if(~fits).alias("large")).first()
         if not left.cells:

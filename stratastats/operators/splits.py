@@ -84,11 +84,22 @@ def with_range(df: DataFrame, value: str, ranges: Ranges, out: str) -> DataFrame
         fine = F.broadcast(fine)
     # A range that the sample missed has no points and stays whole
     found = coarse.join(fine.withColumnRenamed("_coarse", out), out, "left")
-    step, at = (ranges.size + 1) // 2, F.lit(0)
-    while step:
-        passed = F.get("_points", at + (step - 1)) <= F.col(value)
-        found = found.withColumn("_at", at + F.coalesce(passed, F.lit(False)).cast("int") * step)
-        step, at = step // 2, F.col("_at")
-    equal = F.coalesce(F.get("_points", at - 1) == F.col(value), F.lit(False))
-    number = F.col(out) * (2 * ranges.size + 2) + 2 * at - equal.cast("int")
+    found = with_cut(found, "_points", ranges.size, value, "_cut")
+    number = F.col(out) * (2 * ranges.size + 2) + F.col("_cut")
     return found.withColumn(out, number.cast("bigint")).select(*df.columns, out)
+
+
+def with_cut(df: DataFrame, points: str, size: int, value: str, out: str) -> DataFrame:
+    """Where ``value`` stands among the sorted array ``points`` of up to ``size`` (2**k - 1).
+
+    Odd numbers are the points themselves, even ones what lies between. Each step of the binary
+    search is a column of its own, so that no generated method grows too long to be compiled.
+    """
+    step, at, names = (size + 1) // 2, F.lit(0), []
+    while step:
+        names.append(f"_{out}{step}")
+        passed = F.coalesce(F.get(points, at + (step - 1)) <= F.col(value), F.lit(False))
+        df = df.withColumn(names[-1], at + F.when(passed, step).otherwise(0))
+        step, at = step // 2, F.col(names[-1])
+    equal = F.coalesce(F.get(points, at - 1) == F.col(value), F.lit(False))
+    return df.withColumn(out, 2 * at - F.when(equal, 1).otherwise(0)).drop(*names)
