@@ -2,68 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import csv
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
 from .layout import PUBLISHED, Layout
+from .records import LINES, OBJECTS, read_records
 
 
 def read_json_records(
-    spark: SparkSession, path: str, schema: StructType | str, array: bool = False
+    spark: SparkSession, path: str, schema: StructType | str, array: bool | None = None
 ) -> DataFrame:
     """JSON records with declared types, so ids keep their leading zeros.
 
-    ``array=True`` reads files that hold one top-level array. Such a file cannot be
-    split; one record per line (the default) can.
+    Files hold one record per line, or one top-level array of objects each (``array``); None
+    looks at how the first file begins. Both are read split by split, an array on one line too.
     """
-    return spark.read.schema(schema).option("multiLine", array).json(path)
+    if array is None:
+        top = spark.read.option("lineSep", OBJECTS.separator).text(path).head(1)
+        array = bool(top) and top[0].value.lstrip("\ufeff \t\r\n").startswith("[")
+    if not array:
+        return spark.read.schema(schema).json(path)
+    records, _ = read_records(spark, path, OBJECTS)
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return records.select(F.from_json("value", kind).alias("r")).select("r.*")
 
 
 def read_tsv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """Tab-separated text with a header line.
+    """Tab-separated text with a header line, the same in every file.
 
-    ``columns`` maps the wanted header names to Spark types; the others are not parsed.
+    ``columns`` maps the wanted header names to Spark types; the others are not parsed. Where a
+    quoted field holds a line break (a look at the quotes tells), records are put together first.
     """
-    text = spark.read.option("sep", "\t").option("header", True).csv(path)
-    missing = sorted(set(columns) - set(text.columns))
-    if missing:
-        raise ValueError(f"columns not in the header: {missing}")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+        return read_preamble_table(spark, path, columns, 0, "\t")
+    text = (
+        spark.read.option("sep", "\t").option("header", True).option("escape", '"')
+        .option("enforceSchema", False).csv(path)
+    )
+    _require(columns, text.columns)
     return text.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c, kind in columns.items()])
 
 
-def _drop_leading_lines(count: int):
-    """Arrow batches of (value, file_path, file_block_start) without each file's first lines.
-
-    A file's first lines sit in the split that starts at byte 0, in order, so each
-    task can count them on its own and nothing is shuffled.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        path, seen = None, 0
-        for batch in batches:
-            value, paths, blocks = (batch[i] for i in range(3))
-            start = 0
-            while start < batch.num_rows:
-                same = pc.equal(paths.slice(start), paths[start])
-                length = pc.index(same, False).as_py()
-                length = len(same) if length < 0 else length
-                if paths[start].as_py() != path:
-                    path, seen = paths[start].as_py(), 0
-                skip = max(count - seen, 0) if blocks[start].as_py() == 0 else 0
-                rest = value.slice(start, length).slice(skip)
-                if len(rest):
-                    yield pa.RecordBatch.from_arrays([rest], names=["value"])
-                seen += length
-                start += length
-
-    return run
+def _require(columns: dict[str, str], header: list[str]) -> None:
+    missing = sorted(set(columns) - set(header))
+    if missing:
+        raise ValueError(f"columns not in the header: {missing}")
 
 
 def read_preamble_table(
@@ -75,26 +62,29 @@ def read_preamble_table(
 ) -> DataFrame:
     """Delimited exports whose header follows a few lines of preamble.
 
-    ``path`` may hold many such files with the same header. ``columns`` maps the
-    wanted header names to Spark types; other columns are never converted.
+    ``path`` may hold many such files; their headers must be the same. ``columns`` maps the
+    wanted header names to Spark types; other columns are never converted. Header names and
+    fields may be quoted, and then hold the separator, doubled quotes and line breaks; a quote
+    that is never closed raises an error. Blank lines are dropped.
     """
-    lines = spark.read.text(path).select(
-        "value", "_metadata.file_path", "_metadata.file_block_start"
-    )
-    top = lines.where("file_block_start = 0").select("value").head(preamble_lines + 1)
-    if len(top) <= preamble_lines:
+    rows, headers = read_records(spark, path, LINES, preamble_lines, header=True)
+    if not headers:
         raise ValueError(f"no header after {preamble_lines} lines in {path}")
-    header = [name.strip().strip('"') for name in top[-1].value.split(sep)]
-    missing = sorted(set(columns) - set(header))
-    if missing:
-        raise ValueError(f"columns not in the header: {missing}")
-    as_text = StructType([StructField(name, StringType()) for name in header])
-    rows = lines.mapInArrow(_drop_leading_lines(preamble_lines + 1), "value string").where(
-        F.trim("value") != ""
+    names = [[n.strip() for n in next(csv.reader([h.removeprefix("\ufeff")], delimiter=sep))] for h in headers]
+    if any(n != names[0] for n in names):
+        raise ValueError(f"headers differ: {names[0]} and {names[1]}")
+    _require(columns, names[0])
+    # By place: names may repeat among the columns that nobody asked for
+    as_text = StructType([StructField(f"c{i}", StringType()) for i in range(len(names[0]))])
+    options = {"sep": sep, "escape": '"'}
+    parsed = rows.where(F.trim("value") != "").select(
+        F.from_csv("value", as_text.simpleString(), options).alias("r")
     )
-    parsed = rows.select(F.from_csv("value", as_text.simpleString(), {"sep": sep}).alias("r"))
     return parsed.select(
-        *[F.col("r").getField(name).cast(kind).alias(name) for name, kind in columns.items()]
+        *[
+            F.col("r").getField(f"c{names[0].index(name)}").cast(kind).alias(name)
+            for name, kind in columns.items()
+        ]
     )
 
 
@@ -113,7 +103,7 @@ class Sources:
         facts_path: str,
         attributes_path: str,
         prices_path: str,
-        facts_array: bool = True,
+        facts_array: bool | None = None,
         preamble_lines: int = 4,
         layout: Layout = PUBLISHED,
     ) -> "Sources":

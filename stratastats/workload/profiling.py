@@ -37,24 +37,58 @@ def _as_json(spark, folder) -> str:
     return path
 
 
-def _as_preamble_exports(spark, folder) -> str:
-    """Every customer in one of several exports: four lines of preamble, a header, rows."""
-    path = scratch_path(spark, "preamble")
+def _as_exports(spark, folder, top: list[str], row, end: list[str] = ()) -> str:
+    """Every customer in one of several text files: leading lines, a line of each row, last lines."""
+    path = scratch_path(spark, "exports")
     exports = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    top = ["Area figures", "", "Source, made from customer", "See notes", "area_id,name,income,code"]
-    head = spark.range(exports).select(
-        F.col("id").alias("part"), F.posexplode(F.array(*[F.lit(x) for x in top])).alias("no", "value")
-    )
-    row = F.to_csv(F.struct("c_custkey", "c_name", "c_acctbal", "c_nationkey"))
+
+    def frame(lines, first):
+        numbered = [F.struct(F.lit(first + i).alias("no"), F.lit(x).alias("value")) for i, x in enumerate(lines)]
+        return spark.range(exports).select(F.col("id").alias("part"), F.inline(F.array(*numbered)))
+
     body = table(spark, folder, "customer").select(
-        F.pmod(F.xxhash64("c_custkey"), F.lit(exports)).alias("part"), F.lit(5).alias("no"),
+        F.pmod(F.xxhash64("c_custkey"), F.lit(exports)).alias("part"), F.lit(len(top)).alias("no"),
         row.alias("value"),
     )
-    lines = head.unionByName(body).repartition("part").sortWithinPartitions("part", "no")
+    lines = frame(top, 0).unionByName(body)
+    if end:
+        lines = lines.unionByName(frame(end, len(top) + 1))
+    lines = lines.repartition("part").sortWithinPartitions("part", "no")
     lines.select("part", "value").write.partitionBy("part").text(path)
     return path
 
 
+def _as_preamble_exports(spark, folder) -> str:
+    """Four lines of preamble, a header, rows."""
+    top = ["Area figures", "", "Source, made from customer", "See notes", "area_id,name,income,code"]
+    return _as_exports(
+        spark, folder, top, F.to_csv(F.struct("c_custkey", "c_name", "c_acctbal", "c_nationkey"))
+    )
+
+
+def _as_quoted_exports(spark, folder) -> str:
+    """The same with quoted names, and a text field of two lines with separators and quotes."""
+    top = ["Area figures", "", "Source", "Notes", 'area_id,"name, ""long""",income,"code"']
+    name = F.concat(F.lit('"'), "c_name", F.lit(' ""of""\nnation, '), "c_nationkey", F.lit('"'))
+    return _as_exports(
+        spark, folder, top, F.concat_ws(",", "c_custkey", name, "c_acctbal", "c_nationkey")
+    )
+
+
+def _as_json_arrays(spark, folder) -> str:
+    """Files that hold one array of objects each."""
+    row = F.to_json(
+        F.struct(
+            zero_pad(F.col("c_custkey").cast("string"), 11).alias("child_part_id"),
+            F.concat(F.lit('} "'), "c_name", F.lit("\\ {")).alias("c_name"),
+            F.struct(F.array("c_nationkey").alias("keys")).alias("place"),
+            F.col("c_acctbal").alias("amount"),
+        )
+    )
+    last = '{"child_part_id": null}]'
+    return _as_exports(spark, folder, ["["], F.concat(row, F.lit(",")), [last])
+
+
 def _as_tsv(spark, folder) -> str:
     path = scratch_path(spark, "tsv")
     table(spark, folder, "orders").select(
@@ -90,6 +124,33 @@ def scan_preamble(spark, folder):
     return read_preamble_table(spark, _as_preamble_exports(spark, folder), PREAMBLE_COLUMNS)
 
 
+@query(
+    "scan_quoted_records",
+    """select cast(c_custkey as varchar) as area_id, c_name || ' "of"' || chr(10) || 'nation, ' || c_nationkey as name,
+    c_acctbal as income, c_nationkey as code from customer""",
+)
+def scan_quoted_records(spark, folder):
+    """Names and fields in quotes, records over two lines, read split by split."""
+    name = 'name, "long"'
+    columns = {"area_id": "string", name: "string", "income": "double", "code": "int"}
+    found = read_preamble_table(spark, _as_quoted_exports(spark, folder), columns)
+    return found.withColumnRenamed(name, "name")
+
+
+@query(
+    "scan_json_array",
+    """select lpad(cast(c_custkey as varchar), 11, '0') as child_part_id,
+    '} "' || c_name || '\\ {' as c_name, c_nationkey as nation, c_acctbal as amount from customer""",
+)
+def scan_json_array(spark, folder):
+    """Arrays of objects, found to be such, read split by split; the last object is empty."""
+    schema = "child_part_id string, c_name string, amount double, place struct<keys: array<int>>"
+    found = read_json_records(spark, _as_json_arrays(spark, folder), schema)
+    return found.where("child_part_id is not null").select(
+        "child_part_id", "c_name", F.get("place.keys", F.lit(0)).alias("nation"), "amount"
+    )
+
+
 @query(
     "scan_tsv",
     "select cast(o_orderdate as date) as period_begin, o_orderstatus as region_type, o_orderkey, "
@@ -122,7 +183,7 @@ LAYOUT = Layout(
 def load_sources(spark, folder):
     s = Sources.load(
         spark, _as_json(spark, folder), _as_preamble_exports(spark, folder), _as_tsv(spark, folder),
-        facts_array=False, layout=LAYOUT,
+        layout=LAYOUT,
     )
     counted = [
         df.agg(F.lit(name).alias("source"), F.count("*").alias("row_count"),

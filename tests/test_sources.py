@@ -1,7 +1,10 @@
 """Readers on small files, and stored intermediate tables."""
 
+import csv
+import io
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +84,86 @@ def test_written_goes_to_the_checkpoint_folder(spark):
     folder = spark.sparkContext.getCheckpointDir()
     assert folder and all(folder.split(":")[-1] in f for f in df.inputFiles())
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    yield
+    for name in ("files.maxPartitionBytes", "files.openCostInBytes", "execution.arrow.maxRecordsPerBatch"):
+        spark.conf.unset(f"spark.sql.{name}")
+
+
+def test_quoted_header_and_line_breaks_over_splits(spark, tmp_path, small_splits, monkeypatch):
+    """Fields with the separator, quotes and line breaks, some longer than several splits."""
+    rng = np.random.default_rng(1)
+    parts = ["a", "b,", '"', "\n", "\n\n", " word", "é", "1"]
+    want = []
+    for f in range(3):
+        lines = io.StringIO()
+        out = csv.writer(lines, lineterminator="\r\n" if f == 1 else "\n")
+        for i in range(120):
+            text = "".join(rng.choice(parts, rng.integers(0, 12))).strip() + "."
+            if i % 40 == 3:
+                text = 'line "of" it\n' * 200 + "end"
+            out.writerow([f"{f}{i:03d}", text, i / 4])
+            want.append((f"{f}{i:03d}", text, i / 4))
+        top = 'Title "of\n\nSource\nfigures\n' + '"FIPS","Name, ""long""","Rate"' + ("\r\n" if f == 1 else "\n")
+        (tmp_path / f"part{f}.csv").write_bytes((top + lines.getvalue()).encode())
+    columns = {"FIPS": "string", 'Name, "long"': "string", "Rate": "double"}
+    for limit in (50_000, 0):
+        monkeypatch.setattr("stratastats.sources.records.BROADCAST_ROWS", limit)
+        got = read_preamble_table(spark, str(tmp_path), columns)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_quotes_and_headers_that_cannot_be_read_raise(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1,"open\n2,3\n')
+    with pytest.raises(ValueError, match="within a record"):
+        read_preamble_table(spark, str(tmp_path), {"x": "int"}, 0)
+    (tmp_path / "a.csv").write_text('x,y\n1,2\n')
+    (tmp_path / "b.csv").write_text('y,x\n1,2\n')
+    with pytest.raises(ValueError, match="headers differ"):
+        read_preamble_table(spark, str(tmp_path), {"x": "int"}, 0)
+    (tmp_path / "b.csv").write_text("x\n")
+    with pytest.raises(ValueError, match="no header"):
+        read_preamble_table(spark, str(tmp_path), {"x": "int"}, 1)
+
+
+def test_tsv_with_quoted_line_breaks(spark, tmp_path, small_splits):
+    want = [(f"r{i}", "two\nlines\tand a tab" if i % 3 else 'a "word"', float(i)) for i in range(200)]
+    out = io.StringIO()
+    csv.writer(out, delimiter="\t", lineterminator="\n").writerows([("region", "text", "price"), *want])
+    (tmp_path / "a.tsv").write_text(out.getvalue())
+    got = read_tsv(spark, str(tmp_path), {"region": "string", "text": "string", "price": "double"})
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_array_is_read_by_many_tasks(spark, tmp_path, small_splits, indent):
+    """The rows of the reader that takes a file in one task; braces and quotes within strings."""
+    rng = np.random.default_rng(3)
+    parts = ["a", "}", "{", '"', "\\", "[", "},", '"}', "\n", "é", ' {"b": 1}']
+    made = []
+    for i in range(300):
+        text = "".join(rng.choice(parts, rng.integers(0, 9)))
+        made.append({"id": f"{i:04d}", "text": text * (150 if i % 90 == 5 else 1), "x": i / 8, "deep": {"list": [{"k": text}, {}], "n": None}})
+    schema = "id string, text string, x double, deep struct<list: array<struct<k: string>>, n: int>"
+    (tmp_path / "a.json").write_text(json.dumps(made[:200], indent=indent))
+    (tmp_path / "b.json").write_text("  " + json.dumps(made[200:], indent=indent, ensure_ascii=False) + "\n")
+    (tmp_path / "c.json").write_text("[]")
+    got = read_json_records(spark, str(tmp_path), schema)
+    want = spark.read.schema(schema).option("multiLine", True).json(str(tmp_path))
+    assert want.count() == 300 and sorted(got.collect()) == sorted(want.collect())
+    assert got.rdd.getNumPartitions() > 10
+    (tmp_path / "c.json").write_text('[{"id": "1", "text": "}')
+    with pytest.raises(ValueError, match="within a record"):
+        read_json_records(spark, str(tmp_path), schema)
+
+
+def test_json_lines_are_told_from_arrays(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "01"}\n{"id": "[{"}\n')
+    assert [r.id for r in read_json_records(spark, str(tmp_path), "id string").collect()] == ["01", "[{"]
