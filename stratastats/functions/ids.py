@@ -57,14 +57,16 @@ def map_or_self(c: ColumnLike, mapping: Mapping[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, c), c)
 
 
-def format_label(name: ColumnLike, value: ColumnLike, unit: str) -> Column:
-    """``name: value unit`` with the value rounded half-even to a whole number."""
+def format_label(name: ColumnLike, value: ColumnLike, unit: str | Column) -> Column:
+    """``name: value unit`` with the value rounded half-even to a whole number; NaN is missing."""
     value = as_column(value)
+    value = F.when(~F.isnan(value), value)
+    unit = unit if isinstance(unit, Column) else F.lit(unit)
     whole = F.bround(value, 0)
     text = F.when((value < 0) & (whole == 0), F.lit("-0")).otherwise(
         whole.cast("bigint").cast("string")
     )
-    return F.concat(as_column(name), F.lit(": "), text, F.lit(f" {unit}"))
+    return F.concat(as_column(name), F.lit(": "), text, F.lit(" "), unit)
 
 
 def scientific_label(value: ColumnLike) -> Column:

@@ -26,8 +26,9 @@ def ratio(numerator: ColumnLike, denominator: ColumnLike) -> Column:
     return F.try_divide(as_column(numerator), as_column(denominator))
 
 
-def scale_units(c: ColumnLike, divisor: float) -> Column:
-    return as_column(c) / F.lit(float(divisor))
+def scale_units(c: ColumnLike, divisor: float | Column) -> Column:
+    divisor = divisor if isinstance(divisor, Column) else F.lit(float(divisor))
+    return as_column(c) / divisor
 
 
 def minmax(c: ColumnLike, lo: Column, hi: Column) -> Column:
@@ -53,5 +54,6 @@ def round_significant(c: ColumnLike, digits: int = 6) -> Column:
 
 
 def round_trunc_int(c: ColumnLike, places: int = 3) -> Column:
-    """Round half-even, then cut the fraction."""
-    return F.bround(as_column(c), places).cast("bigint")
+    """Round half-even, then cut the fraction; NaN is missing."""
+    c = as_column(c)
+    return F.bround(F.when(~F.isnan(c), c), places).cast("bigint")

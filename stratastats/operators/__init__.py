@@ -10,9 +10,9 @@ from .distribution import (
     normal_fit,
     normality_report,
 )
-from .extremes import bottom_n, extremes, extremes_panel, top_n
+from .extremes import bottom_n, extremes, extremes_panel, measure_extremes, top_n
 from .hierarchy import category_dictionary, major_class, roll_up
-from .maptable import map_table, metric_metadata, minmax_normalise
+from .maptable import map_table, map_tables, metric_metadata, minmax_normalise
 from .merge import inner_join, merge_coverage, merge_sources
 from .profile import describe_numeric, distinct_values, head_n, null_profile, sample_n, schema_profile
 from .quantiles import grouped_median, grouped_percentiles
@@ -50,6 +50,8 @@ __all__ = [
     "inner_join",
     "major_class",
     "map_table",
+    "map_tables",
+    "measure_extremes",
     "merge_coverage",
     "merge_sources",
     "metric_metadata",

@@ -26,62 +26,89 @@ def _extent(values: DataFrame):
     ).scalar()
 
 
-def histogram(
-    df: DataFrame, column: str, bins: int, divisor: float = 1.0, density: bool = False
-) -> DataFrame:
-    """Equal-width bins over the data range: ``bin, lo, hi, count`` (and ``density``).
+def _binned(df: DataFrame, slots: Sequence[tuple[str, float, int]]) -> DataFrame:
+    """Histograms of several ``(column, divisor, bins)`` of a frame: two scans for all of them.
 
-    Bins are left-closed, the last one closed on both sides; empty bins are listed.
+    One row per slot and bin, empty bins too: ``slot, bin, lo, hi, count, n, width``.
     """
-    values = df.select(nan_as_null(column).alias("x"))
-    if divisor != 1:
-        values = values.select(scale_units("x", divisor).alias("x"))
-    values = values.where("x is not null")
-    extent = _extent(values)
+    scaled = [scale_units(nan_as_null(c), d) if d != 1 else nan_as_null(c) for c, d, _ in slots]
+    wide = df.select(*[x.alias(f"_x{i}") for i, x in enumerate(scaled)])
+    extents = []
+    for i, (_, _, bins) in enumerate(slots):
+        x = f"_x{i}"
+        half = F.when(F.min(x) == F.max(x), F.lit(0.5)).otherwise(F.lit(0.0))
+        extents.append(
+            F.struct(
+                F.lit(i).alias("slot"), F.lit(int(bins)).alias("bins"), (F.min(x) - half).alias("lo"),
+                (F.max(x) + half).alias("hi"), F.count(x).alias("n"),
+            )
+        )
+    # One row per slot
+    extent = F.broadcast(wide.agg(F.array(*extents).alias("e")).select(F.inline("e")))
 
     def edge(i):
-        step = (F.col("e.hi") - F.col("e.lo")) / F.lit(bins)
-        return F.when(i == bins, F.col("e.hi")).otherwise(F.col("e.lo") + i * step)
+        step = (F.col("hi") - F.col("lo")) / F.col("bins")
+        return F.when(i == F.col("bins"), F.col("hi")).otherwise(F.col("lo") + i * step)
 
-    placed = values.withColumn("e", extent)
+    cells = [F.struct(F.lit(i).alias("slot"), F.col(f"_x{i}").alias("x")) for i in range(len(slots))]
+    values = wide.select(F.inline(F.array(*cells))).where("x is not null").join(extent, "slot")
     guess = F.least(
-        F.floor((F.col("x") - F.col("e.lo")) / (F.col("e.hi") - F.col("e.lo")) * bins),
-        F.lit(bins - 1),
+        F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * F.col("bins")),
+        F.col("bins") - 1,
     )
     # Float division can land one bin off; compare with the edges themselves.
-    placed = placed.withColumn("i", guess).select(
+    placed = values.withColumn("i", guess).select(
+        "slot",
         (
             F.col("i")
             - F.when(F.col("x") < edge(F.col("i")), 1).otherwise(0)
             + F.when(
-                (F.col("i") < bins - 1) & (F.col("x") >= edge(F.col("i") + 1)), 1
+                (F.col("i") < F.col("bins") - 1) & (F.col("x") >= edge(F.col("i") + 1)), 1
             ).otherwise(0)
-        ).alias("bin")
+        ).alias("bin"),
     )
-    counted = placed.groupBy("bin").agg(F.count("*").alias("count"))
-    axis = df.sparkSession.range(bins).select(F.col("id").alias("bin")).withColumn("e", extent)
-    # ``counted`` has at most ``bins`` rows.
-    out = axis.join(F.broadcast(counted), "bin", "left").select(
-        F.col("bin").cast("int").alias("bin"),
-        edge(F.col("bin")).alias("lo"),
-        edge(F.col("bin") + 1).alias("hi"),
-        F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
-        *([F.col("e")] if density else []),
+    counted = placed.groupBy("slot", "bin").agg(F.count("*").alias("count"))
+    axis = extent.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("bins") - 1).cast("bigint"))).alias("bin")
     )
-    if density:
-        width = (F.col("e.hi") - F.col("e.lo")) / F.lit(bins)
-        out = out.withColumn(
-            "density", F.try_divide(F.col("count").cast("double"), F.col("e.n") * width)
-        ).drop("e")
-    return out
+    # ``counted`` has at most one row per bin.
+    out = axis.join(F.broadcast(counted), ["slot", "bin"], "left")
+    return out.select(
+        "slot", F.col("bin").cast("int").alias("bin"), edge(F.col("bin")).alias("from"),
+        edge(F.col("bin") + 1).alias("to"), F.coalesce("count", F.lit(0)).cast("bigint").alias("count"),
+        "n", ((F.col("hi") - F.col("lo")) / F.col("bins")).alias("width"),
+    ).withColumnsRenamed({"from": "lo", "to": "hi"})
+
+
+def histogram(
+    df: DataFrame, column: str, bins: int, divisor: float = 1.0, density: bool = False
+) -> DataFrame:
+    """Equal-width bins over the data range: ``bin, lo, hi, count`` (and ``density``).
+
+    Bins are left-closed, the last one closed on both sides; empty bins are listed. A constant
+    column is widened by half a unit on both sides, so bins have a width.
+    """
+    out = _binned(df, [(column, divisor, bins)])
+    share = F.try_divide(F.col("count").cast("double"), F.col("n") * F.col("width")).alias("density")
+    return out.select("bin", "lo", "hi", "count", *([share] if density else []))
 
 
 def histogram_panel(panels: Sequence[tuple[str, DataFrame, str, float, int]]) -> DataFrame:
-    """Histograms of several ``(metric, frame, column, divisor, bins)`` in one table."""
+    """Histograms of several ``(metric, frame, column, divisor, bins)`` in one table.
+
+    All histograms of a frame come from the same two scans of it.
+    """
+    frames: dict[int, tuple[DataFrame, list, list]] = {}
+    for metric, df, column, divisor, bins in panels:
+        _, names, slots = frames.setdefault(id(df), (df, [], []))
+        names.append(F.lit(metric))
+        slots.append((column, divisor, bins))
     return union_all(
         [
-            histogram(df, column, bins, divisor).withColumn("metric", F.lit(metric))
-            for metric, df, column, divisor, bins in panels
+            _binned(df, slots).select(
+                "bin", "lo", "hi", "count", F.get(F.array(*names), F.col("slot")).alias("metric")
+            )
+            for df, names, slots in frames.values()
         ]
     )
 

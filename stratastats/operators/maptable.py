@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import format_label, minmax, round_trunc_int, scale_units
 from ..sources.scratch import written
@@ -52,26 +52,60 @@ def minmax_normalise(df: DataFrame, column: str, out: str, store: bool = False)
     )
 
 
-def map_table(
+def map_tables(
     df: DataFrame,
-    column: str,
+    columns: Sequence[str],
     region: str,
     normalise: bool = False,
     metrics: Mapping[str, Metric] = METRICS,
 ) -> DataFrame:
-    """``region, value, z, text, unit, title`` with one row per region."""
-    metric = metric_metadata(column, metrics)
-    values = df.select(F.col(region).alias("region"), F.col(column).cast("double").alias("value"))
-    values = without_nan(values, "value")
+    """``region, metric, value, z, text, unit, title``: one row per region and column, one scan.
+
+    For ``normalise`` the columns are written once and read for their extents and the rows.
+    """
+    chosen = {c: metric_metadata(c, metrics) for c in columns}
+    wide = without_nan(
+        df.select(F.col(region).alias("region"), *[F.col(c).cast("double").alias(c) for c in columns]),
+        *columns,
+    )
+    extents: dict[str, Column] = {}
     if normalise:
-        values = minmax_normalise(values, "value", "value")
-    elif metric.divisor != 1:
-        values = values.withColumn("value", scale_units("value", metric.divisor))
-    return values.select(
+        wide = written(wide, "maps")
+        extent = wide.agg(
+            F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in columns]).alias("e")
+        ).scalar()
+        wide = wide.withColumn("_extents", extent)
+        extents = {c: F.col("_extents")[c] for c in columns}
+    cells = []
+    for c, metric in chosen.items():
+        value = F.col(c)
+        if normalise:
+            value = minmax(c, extents[c]["lo"], extents[c]["hi"])
+        elif metric.divisor != 1:
+            value = scale_units(c, metric.divisor)
+        cells.append(
+            F.struct(
+                F.lit(c).alias("metric"), value.alias("value"), F.lit(metric.unit).alias("unit"),
+                F.lit(f"{metric.label} {metric.unit}").alias("title"),
+            )
+        )
+    return wide.select("region", F.inline(F.array(*cells))).select(
         "region",
+        "metric",
         "value",
         round_trunc_int("value").alias("z"),
-        format_label("region", "value", metric.unit).alias("text"),
-        F.lit(metric.unit).alias("unit"),
-        F.lit(f"{metric.label} {metric.unit}").alias("title"),
+        format_label("region", "value", F.col("unit")).alias("text"),
+        "unit",
+        "title",
     )
+
+
+def map_table(
+    df: DataFrame,
+    column: str,
+    region: str,
+    normalise: bool = False,
+    metrics: Mapping[str, Metric] = METRICS,
+) -> DataFrame:
+    """``region, value, z, text, unit, title`` with one row per region."""
+    return map_tables(df, [column], region, normalise, metrics).drop("metric")

@@ -90,10 +90,9 @@ def with_drift_flags(
 
     The axis is shared by all rows, or by those of a stratum that ``by`` names.
     """
-    if by:
-        widest = F.max(F.abs("drift")).over(Window.partitionBy(*by))
-    else:
-        widest = drift.agg(F.max(F.abs("drift"))).scalar()
+    # One row per stratum and class: few enough for the window of the shared axis
+    shared = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    widest = F.max(F.abs("drift")).over(shared)
     return drift.withColumns(
         {"flag": sign_flag("drift"), "near_zero": near_zero_flag("drift", widest, share)}
     )

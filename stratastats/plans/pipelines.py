@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import amount_terms, bucket_label, decode, rate_per_weight, ratio
 from ..operators.correlation import spearman
-from ..operators.extremes import extremes
-from ..operators.reshape import union_all
+from ..operators.extremes import measure_extremes
 from ..operators.strata import nominal_drift, sort_custom_order
-from ..sources.scratch import written
 from . import presets
 
 
@@ -29,22 +27,12 @@ def with_ratios(merged: DataFrame, scale: float = presets.POUNDS_PER_TON) -> Dat
 
 def ratio_extremes(
     merged: DataFrame, key: Sequence[str], n: int = 5,
-    ratios: Sequence[str] = ("income_ratio", "price_ratio"), stored: bool = False,
+    ratios: Sequence[str] = ("income_ratio", "price_ratio"),
 ) -> DataFrame:
-    """Places with the largest and the smallest ratios, one block per ratio.
-
-    The merged frame has one row per place and is read four times, so it is stored
-    first unless ``stored`` says that it already is.
-    """
-    rated = with_ratios(merged if stored else written(merged, "merged"))
-    return union_all(
-        [
-            extremes(rated.withColumn("ratio", F.col(r)), "ratio", key, n).withColumn(
-                "metric", F.lit(r)
-            )
-            for r in ratios
-        ]
-    )
+    """Places with the largest and the smallest ratios, one block per ratio; one scan."""
+    cells = [F.struct(F.lit(r).alias("metric"), F.col(r).alias("value")) for r in ratios]
+    found = measure_extremes(with_ratios(merged), cells, key, n)
+    return found.withColumnRenamed("value", "ratio")
 
 
 def correlation_lines(

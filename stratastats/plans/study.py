@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.correlation import pivot_matrix, spearman
 from ..operators.distribution import histogram_panel, normality_report
 from ..operators.extremes import extremes_panel
-from ..operators.maptable import map_table
+from ..operators.maptable import map_tables
 from ..operators.merge import inner_join, merge_sources
-from ..operators.reshape import union_all
 from ..operators.strata import drift_domain, select_strata, sort_custom_order, with_drift_flags
 from ..functions import decode, rate_per_weight
 from ..sources import Sources, written
@@ -79,35 +78,37 @@ class Study:
         return self._once("rated-by-class", level, build=build)
 
     def histograms(self, level: str) -> DataFrame:
-        frames = {"income": self.attributes, "price": self.prices, "rate": self.attributes,
-                  "amount": self.facts}
+        attributes = self.attributes(level)
+        frames = {"income": attributes, "price": self.prices(level), "rate": attributes,
+                  "amount": self.facts(level)}
         panels = zip(PANEL_TITLES, presets.PANEL_METRICS, presets.PANEL_DIVISORS,
                      presets.PANEL_BINS[level])
-        return histogram_panel([(t, frames[c](level), c, d, b) for t, c, d, b in panels])
+        return histogram_panel([(t, frames[c], c, d, b) for t, c, d, b in panels])
 
     def parent_extremes(self) -> DataFrame:
         """Top and bottom five parents of each source."""
-        frames = {
-            "income": (self.attributes, "attr_code"), "price": (self.prices, "price_code"),
-            "rate": (self.attributes, "attr_code"), "amount": (self.facts, "parent_code"),
-        }
+        attributes, prices, facts = (
+            frame("parent").withColumn("place", F.col(code))
+            for frame, code in (
+                (self.attributes, "attr_code"), (self.prices, "price_code"), (self.facts, "parent_code")
+            )
+        )
+        frames = {"income": attributes, "price": prices, "rate": attributes, "amount": facts}
         panels = []
         for title, column, divisor in zip(
             PANEL_TITLES, presets.PANEL_METRICS, presets.PANEL_DIVISORS
         ):
-            frame, code = frames[column]
-            place = frame("parent").withColumn("place", F.col(code))
-            panels.append((title, place, column, divisor, "place"))
+            panels.append((title, frames[column], column, divisor, "place"))
         return extremes_panel(panels, ["place"])
 
     def ratio_extremes(self) -> DataFrame:
         """Top and bottom five places by ratio to income and to price, at both levels."""
         panels = []
-        for ratio, title in (("income_ratio", "Income"), ("price_ratio", "Property Value")):
-            for level, location, key in (
-                ("child", "child_name", "child_id"), ("parent", "parent_code", "parent_id")
-            ):
-                frame = self.rated(level).withColumn("place", F.col(key))
+        for level, location, key in (
+            ("child", "child_name", "child_id"), ("parent", "parent_code", "parent_id")
+        ):
+            frame = self.rated(level).withColumn("place", F.col(key))
+            for ratio, title in (("income_ratio", "Income"), ("price_ratio", "Property Value")):
                 panels.append((f"{title} {level}", frame, ratio, 1.0, location))
         return extremes_panel(panels, ["place"], secondary="weight")
 
@@ -145,9 +146,6 @@ class Study:
             self.facts("parent"), self.attributes("parent"), "parent_code", "attr_code",
             ["weight", "income", "rate"],
         ).withColumn("amount_per_person", rate_per_weight("amount", "weight"))
-        tables = [
-            map_table(two, c, "parent_code").withColumn("metric", F.lit(c))
-            for c in ("amount_per_person", "amount", "weight", "income", "rate")
-        ]
-        price = map_table(self.rated("parent"), "price", "parent_code")
-        return union_all([*tables, price.withColumn("metric", F.lit("price"))])
+        columns = ("amount_per_person", "amount", "weight", "income", "rate")
+        price = map_tables(self.rated("parent"), ["price"], "parent_code")
+        return map_tables(two, columns, "parent_code").unionByName(price)

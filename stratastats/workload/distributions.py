@@ -64,10 +64,8 @@ _PANEL = [
     ),
 )
 def histogram_panel_(spark, folder):
-    panels = [
-        (metric, table(spark, folder, frame), c, float(div), bins)
-        for metric, frame, c, div, bins in _PANEL
-    ]
+    frames = {frame: table(spark, folder, frame) for _, frame, *_ in _PANEL}
+    panels = [(metric, frames[frame], c, float(div), bins) for metric, frame, c, div, bins in _PANEL]
     return rounded(histogram_panel(panels), "lo", "hi")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rate_per_weight
-from ..operators import inner_join, map_table, merge_coverage, union_all
+from ..operators import inner_join, map_table, map_tables, merge_coverage
 from ..sources import written
 from . import tables as t
 from .registry import query, rounded
@@ -188,12 +188,8 @@ def _map_sql(column: str, expression: str, unit: str, label: str) -> str:
     ),
 )
 def map_table_(spark, folder):
-    two = written(_two_source(spark, folder), "two_source")
-    maps = [
-        map_table(two, c, "parent_code").withColumn("metric", F.lit(c))
-        for c in ("amount_per_person", "amount", "weight", "income", "rate")
-    ]
-    return rounded(union_all(maps), "value", places=4)
+    columns = ("amount_per_person", "amount", "weight", "income", "rate")
+    return rounded(map_tables(_two_source(spark, folder), columns, "parent_code"), "value", places=4)
 
 
 @query(

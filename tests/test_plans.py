@@ -6,9 +6,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from stratastats.operators import average_rank, merge_sources, top_n
+from stratastats.functions import format_label, round_trunc_int
+from stratastats.operators import average_rank, extremes_panel, histogram_panel, map_tables, merge_sources, top_n
 from stratastats.plans import bucket_drift, clean_attributes, clean_facts, clean_prices, presets
 from stratastats.plans import ratio_extremes, with_ratios
+from stratastats.sources import written
 from stratastats.workload import QUERIES
 from stratastats.workload import tables as t
 
@@ -199,3 +201,37 @@ def test_rank_has_one_row_shuffle(spark, folder):
 def test_drift_reads_the_data_once(spark, folder):
     plan = physical(QUERIES["drift_by_code"](spark, folder))
     assert plan.count("FileScan parquet [l_orderkey") == 1
+
+
+def scans(plan: str) -> int:
+    return plan.count("FileScan parquet")
+
+
+def test_panels_read_a_frame_once(spark, folder):
+    lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
+    measures = ["l_quantity", "l_extendedprice", "l_discount"]
+    panels = [(c, lineitem, c, 1.0, "l_orderkey") for c in measures]
+    plan = physical(extremes_panel(panels, ["l_orderkey", "l_linenumber"]))
+    assert scans(plan) == 1 and "WindowGroupLimit" in plan
+    panels = [(c, lineitem, c, 1.0, 20) for c in measures]
+    panel = histogram_panel(panels)
+    panel.collect()
+    # One scan for the extents of all columns, one for the bins; the extents are computed once
+    final = physical(panel).split("== Initial Plan ==")[0]
+    assert scans(final) == 2 and "ReusedExchange" in final
+    plan = physical(map_tables(spark.read.parquet(f"{folder}/customer.parquet").selectExpr("c_name as n", "c_acctbal as income", "c_acctbal as price"), ["income", "price"], "n"))
+    assert scans(plan) == 1
+    merged = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 4.0)], "child_id string, amount double, weight double, income double, price double")
+    plan = physical(ratio_extremes(written(merged), ["child_id"]))
+    assert scans(plan) == 1 and "WindowGroupLimit" in plan
+
+
+def test_drift_flags_do_not_repeat_the_drift(spark, folder):
+    plan = physical(QUERIES["near_zero_flag"](spark, folder))
+    assert plan.count("FileScan parquet [l_orderkey") == 1 and "Subquery" not in plan
+
+
+def test_nan_is_missing_in_whole_numbers(spark):
+    df = spark.createDataFrame([(float("nan"),), (2.5,), (None,)], "x double")
+    got = df.select(round_trunc_int("x").alias("z"), format_label(F.lit("n"), "x", "u").alias("t")).collect()
+    assert [tuple(r) for r in got] == [(None, None), (2, "n: 2 u"), (None, None)]
