@@ -10,6 +10,7 @@ from .distribution import (
     normal_fit,
     normality_report,
 )
+from .exactsum import exact_sums, weighted_means
 from .extremes import bottom_n, extremes, extremes_panel, measure_extremes, top_n
 from .hierarchy import category_dictionary, major_class, roll_up
 from .maptable import map_table, map_tables, metric_metadata, minmax_normalise
@@ -37,6 +38,7 @@ __all__ = [
     "describe_numeric",
     "distinct_values",
     "drift_domain",
+    "exact_sums",
     "excess_kurtosis",
     "extremes",
     "extremes_panel",
@@ -70,6 +72,7 @@ __all__ = [
     "spearman",
     "top_n",
     "union_all",
+    "weighted_means",
     "unpivot_drop_null",
     "with_drift_flags",
 ]

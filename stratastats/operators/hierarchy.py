@@ -32,7 +32,8 @@ def roll_up(
     carry: Sequence[str] = (),
     out: str = "major_class",
     sep: str = " - ",
+    exact: bool | int = False,
 ) -> DataFrame:
-    """Sum detailed categories per place and major class."""
+    """Sum detailed categories per place and major class; ``exact`` as in ``group_sum``."""
     classed = df.withColumn(out, major_class(path, mapping, sep))
-    return group_sum(classed, [*by, out], amount, carry, cluster=by)
+    return group_sum(classed, [*by, out], amount, carry, cluster=by, exact=exact)

@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import Terms, label_order, near_zero_flag, sign_flag
+from .exactsum import PARTS, combined, digit_sums
 
 
-def _class_means(df: DataFrame, by: Sequence[str], cls: str, terms: Terms) -> DataFrame:
-    """Sums of the terms per group and class; means come from sums, so sums can be re-added."""
-    return (
-        df.dropna(subset=[cls])
-        .groupBy(*by, cls)
-        .agg(F.sum(terms.num).alias("_num"), F.sum(terms.den).alias("_den"))
-    )
+_TERMS = ["_num", "_den"]
+
+
+def _class_digits(df: DataFrame, by: Sequence[str], cls: str, terms: Terms) -> DataFrame:
+    """Sums of the terms per group and class, as digits that can be added up further, exactly."""
+    return digit_sums(df.dropna(subset=[cls]), [*by, cls], [terms.num, terms.den])
 
 
 def _share(sums: DataFrame, by: Sequence[str], cls: str, excluded: str | None) -> DataFrame:
@@ -25,7 +25,11 @@ def _share(sums: DataFrame, by: Sequence[str], cls: str, excluded: str | None) -
     """
     mean = F.try_divide(F.col("_num").cast("double"), F.col("_den").cast("double"))
     counted = sums if excluded is None else sums.where(F.col(cls) != excluded)
-    total = F.sum("_mean").over(Window.partitionBy(*by, F.lit(0)))
+    # In the order of the classes, so that the total never depends on that of the rows
+    group = Window.partitionBy(*by, F.lit(0)).orderBy(cls)
+    total = F.sum("_mean").over(
+        group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     return counted.withColumn("_mean", mean).select(
         *by, cls, F.try_divide(F.col("_mean") * 100, total).alias("share")
     )
@@ -44,7 +48,8 @@ def composition(
     """
     by = list(by)
     rows = df.dropna(subset=by) if by else df
-    return _share(_class_means(rows, by, cls, terms), by, cls, excluded)
+    sums = combined(_class_digits(rows, by, cls, terms), [*by, cls], _TERMS)
+    return _share(sums, by, cls, excluded)
 
 
 def nominal_drift(
@@ -63,11 +68,12 @@ def nominal_drift(
     """
     # A second grouping set adds the strata up to the baseline, on one row per stratum
     # and class; the windows below run over those few rows.
-    sums = _class_means(df, [stratum], cls, terms)
-    both = sums.groupingSets([[stratum, cls], [cls]], stratum, cls).agg(
-        F.sum("_num").alias("_num"), F.sum("_den").alias("_den"),
-        (F.grouping(stratum) == 1).alias("_overall"),
+    digits = _class_digits(df, [stratum], cls, terms)
+    slots = ["_slot", "_place"]
+    both = digits.groupingSets([[stratum, cls, *slots], [cls, *slots]], stratum, cls, *slots).agg(
+        *[F.sum(c).alias(c) for c in PARTS], (F.grouping(stratum) == 1).alias("_overall")
     )
+    both = combined(both, ["_overall", stratum, cls], _TERMS)
     shares = _share(both, ["_overall", stratum], cls, excluded)
     baseline = F.max(F.when(F.col("_overall"), F.col("share"))).over(Window.partitionBy(cls))
     return (

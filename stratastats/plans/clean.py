@@ -16,12 +16,13 @@ from ..functions import (
     not_in,
     region_label,
     round_significant,
-    weighted_avg,
+    weighted_terms,
     within_year,
     zero_pad,
 )
 from ..levels import parse_level
 from ..operators.aggregates import carry_first, group_sum
+from ..operators.exactsum import combined, digit_sums
 from ..operators.hierarchy import roll_up
 from ..operators.quantiles import TASK_ROWS, grouped_median
 from . import presets
@@ -87,15 +88,18 @@ def clean_attributes(
         rows = rows.where(~drop_parent_totals)
     if level == "parent":
         # The smallest id stands for its parent; as a number it needs no sort to find.
-        rows = (
-            rows.dropna(subset=["attr_code"])
-            .groupBy("attr_code")
-            .agg(
-                carry_first("area_id"),
-                weighted_avg("income", "weight").alias("income"),
-                weighted_avg("rate", "weight").alias("rate"),
-                F.sum("weight").alias("weight"),
-            )
+        income, rate = weighted_terms("income", "weight"), weighted_terms("rate", "weight")
+        digits = digit_sums(
+            rows.dropna(subset=["attr_code"]), ["attr_code"],
+            [income.num, income.den, rate.num, rate.den, F.col("weight")], least=["area_id"],
+        )
+        names = ["_income", "_by_income", "_rate", "_by_rate", "weight"]
+        rows = combined(digits, ["attr_code"], names, [carry_first("area_id")]).select(
+            "attr_code",
+            "area_id",
+            F.try_divide("_income", "_by_income").alias("income"),
+            F.try_divide("_rate", "_by_rate").alias("rate"),
+            "weight",
         )
     return rows.select(
         child_id.alias("attr_child_id"),

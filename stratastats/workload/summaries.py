@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scale_units, weighted_avg
+from ..functions import scale_units, weighted_terms
 from ..operators import (
     bottom_n,
     carried,
     category_dictionary,
+    exact_sums,
     extremes,
     extremes_panel,
     group_sum,
@@ -17,6 +18,7 @@ from ..operators import (
     sort_custom_order,
     top_n,
     union_all,
+    weighted_means,
 )
 from ..plans import ratio_extremes
 from ..sources import written
@@ -104,7 +106,8 @@ def median_by_child(spark, folder):
     "sum(case when income is not null then weight end), 6) as income from attributes",
 )
 def weighted_avg_global(spark, folder):
-    return t.attributes(spark, folder).agg(r6(weighted_avg("income", "weight"), "income"))
+    found = weighted_means(t.attributes(spark, folder), [], {"income": weighted_terms("income", "weight")})
+    return found.select(r6("income", "income"))
 
 
 @query(
@@ -114,14 +117,32 @@ def weighted_avg_global(spark, folder):
     "round(sum(rate * weight) / sum(weight), 6) as rate from attributes group by code",
 )
 def weighted_avg_by_group(spark, folder):
-    return (
-        t.attributes(spark, folder)
-        .groupBy(F.col("parent_code").alias("code"))
-        .agg(
-            F.sum("weight").alias("weight"), r6(weighted_avg("income", "weight"), "income"),
-            r6(weighted_avg("rate", "weight"), "rate"),
-        )
+    rows = t.attributes(spark, folder).withColumnRenamed("parent_code", "code").dropna(subset=["code"])
+    terms = {c: weighted_terms(c, "weight") for c in ("income", "rate")}
+    names, sums = ["weight"], [F.col("weight")]
+    for c, term in terms.items():
+        names += [f"{c}_num", f"{c}_den"]
+        sums += [term.num, term.den]
+    found = exact_sums(rows, ["code"], dict(zip(names, sums)))
+    return found.select(
+        "code", F.col("weight").cast("bigint").alias("weight"),
+        *[r6(F.try_divide(f"{c}_num", f"{c}_den"), c) for c in terms],
+    )
+
+
+@query(
+    "sum_exact",
+    f"with {t.SQL_FACTS} select parent_id, child_part_id, min(parent_code) as parent_code, "
+    "min(child_name) as child_name, cast(sum(amount) as double) as amount "
+    "from facts group by parent_id, child_part_id",
+)
+def sum_exact(spark, folder):
+    """Sums that no order of rows or tasks changes, not in the last bit."""
+    out = group_sum(
+        t.facts(spark, folder), ["parent_id", "child_part_id"], "amount",
+        ["parent_code", "child_name"], exact=True,
     )
+    return rounded(out, "amount")
 
 
 @query(

@@ -437,3 +437,50 @@ def test_map_table(spark):
     assert scaled == {"TX": 0.0, "OH": 1.0}
     with pytest.raises(ValueError):
         op.map_table(df, "code", "code")
+
+
+def test_exact_sums_do_not_depend_on_the_order(spark):
+    """Equal to the last bit over 20 ways to deal the rows, and to the true sum."""
+    rng = np.random.default_rng(21)
+    n = 3000
+    x = rng.normal(size=n) * 10.0 ** rng.integers(-8, 14, n)
+    g = rng.integers(0, 4, n)
+    x[:8], g[:8] = [1e300, -1e300, 5e-324, 1e-310, 2.0**24, 2.0**-24, 0.1, -0.0], 9
+    x[8:10], g[8:10] = [np.inf, 1.0], 10
+    x[10:12], g[10:12] = [np.inf, -np.inf], 11
+    x[12:13], g[12:13] = [np.nan], 12
+    pdf = pd.DataFrame({"g": g, "c": g * 2, "x": x, "w": np.abs(np.where(np.isfinite(x), x, 1.0)) % 7 + 0.1})
+    df = spark.createDataFrame(pdf)
+    seen = set()
+    for i in range(20):
+        dealt = df.repartition(1 + i % 7, F.rand(i))
+        sums = {r.g: r.x for r in op.exact_sums(dealt, ["g"], {"x": F.col("x")}).collect()}
+        seen.add(tuple(sorted((k, str(v)) for k, v in sums.items())))
+        if i % 5 == 0:
+            means = op.weighted_means(dealt, [], {"m": fn.weighted_terms("x", "w")}).first().m
+            assert str(means) == "nan"  # infinities of both signs
+            kept = dealt.where("g < 5")
+            mean = op.weighted_means(kept, [], {"m": fn.weighted_terms("x", "w")}).first().m
+            part = pdf[pdf.g < 5]
+            assert mean == math.fsum(part.x * part.w) / math.fsum(part.w)
+            grouped = op.group_sum(kept, ["g"], "x", ["c"], exact=True).collect()
+            assert {r.g: (r.x, r.c) for r in grouped} == {k: (math.fsum(v), 2 * k) for k, v in part.groupby("g").x}
+    assert len(seen) == 1
+    for k in (0, 1, 2, 3, 9):
+        assert sums[k] == math.fsum(x[g == k])
+    assert sums[10] == math.inf and math.isnan(sums[11]) and sums[12] is None
+    assert op.exact_sums(df.limit(0), [], {"x": F.col("x")}).collect()[0].x is None
+    assert op.group_sum(df.where("g = 12"), ["g"], "x", exact=True).first().x == 0.0
+
+
+def test_drift_does_not_depend_on_the_order(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"s": rng.integers(0, 3, 900), "cls": rng.choice(list("abc"), 900),
+                        "amount": rng.normal(5, 1, 900) * 10.0 ** rng.integers(-6, 9, 900), "w": rng.random(900)})
+    df = spark.createDataFrame(pdf)
+    seen = {
+        tuple(sorted((r.s, r.cls, r.drift) for r in op.nominal_drift(
+            df.repartition(1 + i, F.rand(i)), "s", "cls", fn.amount_terms("amount", "w"), "c").collect()))
+        for i in range(6)
+    }
+    assert len(seen) == 1
