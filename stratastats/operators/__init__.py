@@ -13,6 +13,7 @@ from .distribution import (
 from .exactsum import exact_sums, weighted_means
 from .extremes import bottom_n, extremes, extremes_panel, measure_extremes, top_n
 from .hierarchy import category_dictionary, major_class, roll_up
+from .keys import key_report, total_rows
 from .maptable import map_table, map_tables, metric_metadata, minmax_normalise
 from .merge import inner_join, merge_coverage, merge_sources
 from .profile import describe_numeric, distinct_values, head_n, null_profile, sample_n, schema_profile
@@ -51,6 +52,7 @@ __all__ = [
     "histogram_panel",
     "inner_join",
     "major_class",
+    "key_report",
     "map_table",
     "map_tables",
     "measure_extremes",
@@ -71,6 +73,7 @@ __all__ = [
     "sort_custom_order",
     "spearman",
     "top_n",
+    "total_rows",
     "union_all",
     "weighted_means",
     "unpivot_drop_null",

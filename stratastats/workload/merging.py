@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rate_per_weight
-from ..operators import inner_join, map_table, map_tables, merge_coverage
+from ..operators import inner_join, key_report, map_table, map_tables, merge_coverage, total_rows
 from ..sources import written
 from . import tables as t
 from .registry import query, rounded
@@ -206,3 +206,37 @@ def map_table_(spark, folder):
 def map_table_normalised(spark, folder):
     mapped = map_table(t.merged(spark, folder, "parent"), "price", "parent_code", normalise=True)
     return rounded(mapped, "value", places=4)
+
+
+@query(
+    "key_report",
+    """
+    with k as (
+      select p_name, count(*) as row_count, min(p_type) as lo, max(p_type) as hi from part
+      where p_name is not null group by p_name having count(*) > 1)
+    select p_name, row_count, null::varchar as attribute, null::varchar as least, null::varchar as most from k
+    union all select p_name, row_count, 'p_type', lo, hi from k where lo <> hi""",
+)
+def key_report_(spark, folder):
+    """Part names as a lookup key: those that repeat, and those of different types."""
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    return key_report(part, ["p_name"], ["p_type"])
+
+
+@query(
+    "total_rows",
+    f"""
+    with {t.SQL_ATTRIBUTES},
+    a as (select code, area_name, weight from attributes
+          union all select code, 'all of ' || code, sum(weight) from attributes group by code)
+    select code, area_name, cast(weight as bigint) as weight from a
+    qualify 2 * weight = sum(weight) over (partition by code)
+            and count(weight) over (partition by code) > 2""",
+)
+def total_rows_(spark, folder):
+    """Places beside the totals of their parents: the totals are found."""
+    places = t.attributes(spark, folder).select(F.col("parent_code").alias("code"), "area_name", "weight")
+    totals = places.groupBy("code").agg(
+        F.concat(F.lit("all of "), "code").alias("area_name"), F.sum("weight").alias("weight")
+    )
+    return total_rows(places.unionByName(totals), ["code"], "weight")

@@ -484,3 +484,25 @@ def test_drift_does_not_depend_on_the_order(spark):
         for i in range(6)
     }
     assert len(seen) == 1
+
+
+def test_key_report(spark):
+    df = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 1, "x"), ("b", 1, "x"), ("b", 2, None), ("c", 1, "x"), (None, 1, "x"), (None, 2, "y"), ("d", 9, "p"), ("d", 9, "q"), ("d", 10, "q")],
+        "k string, m int, t string",
+    )
+    got = {(r.k, r.attribute): (r.row_count, r.least, r.most) for r in op.key_report(df, ["k"], ["m", "t"]).collect()}
+    assert got == {
+        ("a", None): (2, None, None), ("b", None): (2, None, None), ("b", "m"): (2, "1", "2"),
+        ("d", None): (3, None, None), ("d", "m"): (3, "10", "9"), ("d", "t"): (3, "p", "q"),
+    }
+    assert not op.key_report(df.limit(0), ["k"], ["m"]).collect()
+
+
+def test_total_rows(spark):
+    rows = [("a", 0.1), ("a", 0.2), ("a", 0.7), ("a", 1.0), ("b", 1.0), ("b", 1.0), ("c", 0.0), ("c", 0.0), ("c", 0.0),
+            ("d", 5.0), ("d", None), ("d", 2.0), ("d", 3.0), (None, 1.0), ("e", 1.0), ("e", 2.0), ("e", 4.0)]
+    df = spark.createDataFrame(rows, "p string, x double")
+    for parts in (1, 5):
+        got = sorted(tuple(r) for r in op.total_rows(df.repartition(parts), ["p"], "x").collect())
+        assert got == [("a", 1.0), ("d", 5.0)]
