@@ -13,7 +13,10 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark import TaskContext
@@ -26,10 +29,12 @@ from .common import pick, stream_rows
 SHARD_TOKENS = 1 << 20  # a shard is closed at this many tokens
 SHARD_DOCS = 8192  # or this many documents
 PART_CHARS = 16 << 20  # text of one writing task, about
+SLICE_CHARS = 1 << 20  # text that is encoded at a time, about
 KEPT = 400_000  # encoded stretches that a worker keeps, twice
 
 SCHEMA = (
-    "part int, seq int, n_docs int, n_tokens bigint, width int, keys binary, first_copy int, "
+    "part int, seq int, n_docs int, n_tokens bigint, width int, first_key bigint, last_key bigint, "
+    "keys binary, first_copy int, "
     "payload binary, displacements binary, fingerprints binary, offsets binary, lengths binary"
 )
 
@@ -62,33 +67,45 @@ class Encoder:
         )
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        return [array(self.code, e.ids).tobytes() for e in found]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_stretch or any(a in text for a in self.added):
-            return self._whole([text])[0]
-        stretches = _STRETCH.findall(text)
-        out = list(map(self.known.get, stretches))
-        try:
-            return b"".join(out)
-        except TypeError:
-            pass
-        missing = list(dict.fromkeys(s for s, ids in zip(stretches, out) if ids is None))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; the stretches that are new go to the tokenizer in one call."""
+        out: list[bytes] = [b""] * len(texts)
+        whole, cut = [], []
+        for i, text in enumerate(texts):
+            if not self.by_stretch or any(a in text for a in self.added):
+                whole.append(i)
+            elif text:
+                stretches = _STRETCH.findall(text)
+                cut.append((i, stretches, list(map(self.known.get, stretches))))
+        if whole:
+            for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
+                out[i] = ids
+        missing = dict.fromkeys(
+            s for _, stretches, found in cut if None in found for s, ids in zip(stretches, found) if ids is None
+        )
         new = {s: self.before[s] for s in missing if s in self.before}
         fresh = [s for s in missing if s not in new]
-        new.update(zip(fresh, self._whole(fresh)))
+        if fresh:
+            new.update(zip(fresh, self._whole(fresh)))
+        for i, stretches, found in cut:
+            if None in found:
+                found = [new[s] if ids is None else ids for s, ids in zip(stretches, found)]
+            out[i] = b"".join(found)
         if len(self.known) >= KEPT:
             self.before, self.known = self.known, {}
         self.known.update((s, ids) for s, ids in new.items() if len(s) <= 64)
-        return b"".join([new[s] if ids is None else ids for s, ids in zip(stretches, out)])
+        return out
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -203,11 +220,24 @@ def _packed(part: int, seq: int, keys: list, texts: list[bytes], width: int, bef
         array[slots] = values
     # the first copy of the first key, for shards that begin amid equal keys
     return (
-        part, seq, n, int(lengths.sum()), width, k.tobytes(), int(copies[0]), b"".join(texts),
+        part, seq, n, int(lengths.sum()), width, keys[0], keys[-1], k.tobytes(), int(copies[0]), b"".join(texts),
         displacements.tobytes(), *(a.tobytes() for a in by_slot),
     )
 
 
+def _slices(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows that are encoded together: texts of about SLICE_CHARS."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[2] or "") + 64
+        if size >= SLICE_CHARS:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
 def write(
     docs: DataFrame,
     tokenizer: str,
@@ -247,13 +277,15 @@ def write(
             seq, keys, texts, size = seq + 1, [], [], 0
             return row
 
-        for key, _, text in docs_in:
-            ids = model.encode(text or "") + end
-            keys.append(key)
-            texts.append(ids)
-            size += len(ids) // model.width
-            if size >= SHARD_TOKENS or len(keys) >= SHARD_DOCS:
-                yield close()
+        for slice_ in _slices(docs_in):
+            encoded = model.encode_all([text or "" for _, _, text in slice_])
+            for (key, _, _), ids in zip(slice_, encoded):
+                ids += end
+                keys.append(key)
+                texts.append(ids)
+                size += len(ids) // model.width
+                if size >= SHARD_TOKENS or len(keys) >= SHARD_DOCS:
+                    yield close()
         if keys:
             yield close()
 
@@ -308,8 +340,16 @@ def entries(spark, path: str) -> DataFrame:
     )
 
 
+def shards_of(spark, path: str, keys: list[int]) -> DataFrame:
+    """The shards whose range of keys holds one of ``keys``; the range reaches the Parquet scan, so
+    that the payload of other shards is not read."""
+    store = read(spark, path)
+    near = [F.lit(k).between(F.col("first_key"), F.col("last_key")) for k in sorted(set(keys))]
+    return store.filter(reduce(or_, near, F.lit(False)))
+
+
 def get(spark, path: str, keys: list[int]) -> dict[int, list[int]]:
-    """The ids of a few documents by key: only shards whose index accepts a key are unpacked."""
+    """The ids of a few documents by key, the first copy of a repeated one."""
     wanted = np.array(sorted(set(keys)), np.int64)
 
     def look(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -322,5 +362,5 @@ def get(spark, path: str, keys: list[int]) -> dict[int, list[int]]:
                 if ids is not None:
                     yield key, ids.astype(np.int64).tolist()
 
-    rows = stream_rows(read(spark, path), look, "key bigint, ids array<bigint>").collect()
+    rows = stream_rows(shards_of(spark, path, keys), look, "key bigint, ids array<bigint>").collect()
     return {r["key"]: r["ids"] for r in rows}
