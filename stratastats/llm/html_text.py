@@ -12,20 +12,18 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
 from .common import map_rows, pick
 
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|template|noscript|textarea|svg|math|iframe|object|title)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
+_RAW = set(
+    "script style template noscript textarea svg math iframe object title".split()
 )
+_NAME = re.compile(r"<(/?)([a-z][a-z0-9:-]*)", re.I)
+_SPECIAL = re.compile(r"[>\"']")
+_NUMBER = re.compile(r"&#([0-9]{8,});?")
 _BLOCK = set(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li link main menu "
@@ -43,10 +41,15 @@ _NAMED = re.compile(
     r"pagination|pager|copyright|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
+_CERTAIN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|sidebars?|nav\w*|menus?|"
+    r"breadcrumbs?|foot(?:er)?|masthead|comments?|disqus|respond|replies|newsletter|hidden)(?:$|[\s_-])",
+    re.I,
+)  # names that say it beyond doubt
 _READERS = re.compile(r"comment|repl(?:y|ies)|advert|promo|sponsor", re.I)
 _LAYOUT = re.compile(r"(?:has|with|no|without)[-_]", re.I)  # says what else the page has
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
-_ATTR = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""(?<![\w:-])([\w:-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _ROLES = set(
     "navigation banner contentinfo complementary search form dialog alert menu menubar toolbar "
     "alertdialog".split()
@@ -56,12 +59,12 @@ WINDOW = 3  # lines that a block spans
 NAMED = 1 / 3  # weight of links in what the page names as its article
 
 
-def _is_furniture(tag: str, attrs: str) -> bool:
+def _is_furniture(tag: str, attrs: str, names: re.Pattern = _NAMED) -> bool:
     if tag in _FURNITURE:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    named = _READERS if tag == "article" else _NAMED
+    named = _READERS if tag == "article" else names
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
@@ -74,15 +77,101 @@ def _is_furniture(tag: str, attrs: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _QUOTED.sub("", attrs), re.I))
 
 
+class _Scanner:
+    """Where tags end, in time linear in the page, however many are never closed.
+
+    A tag ends at the first ``>`` outside quotes. The quotes that a failed search passed are kept:
+    a later search that reaches one of them from outside quotes fails as well.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.marks = [m.start() for m in _SPECIAL.finditer(page)]
+        self.failed: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``; -1 without."""
+        i, passed = bisect_left(self.marks, at), []
+        while i < len(self.marks):
+            x = self.marks[i]
+            if self.page[x] == ">":
+                return x
+            if x in self.failed:
+                break
+            passed.append(x)
+            x = self.page.find(self.page[x], x + 1)
+            if x < 0:
+                break
+            i = bisect_left(self.marks, x + 1)
+        self.failed.update(passed)
+        return -1
+
+
 def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
-    """(start, end, tag, closing, attributes) of each piece of markup; '' for what has no tag."""
-    out = []
-    for m in _PIECE.finditer(page):
-        tag = (m["tag"] or "").lower()
-        out.append((m.start(), m.end(), tag, bool(m["close"]), m["attrs"] or ""))
+    """(start, end, tag, closing, attributes) of each piece of markup; '' for what has no tag.
+
+    What is never closed is text, but for comments and elements whose content is no markup: those
+    reach to the end of the page.
+    """
+    out, scan, last, at = [], _Scanner(page), page.rfind(">"), page.find("<")
+    size = len(page)
+    while at >= 0:
+        end, tag, closing, attrs = -1, "", False, ""
+        for begin, close in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+            if page.startswith(begin, at):
+                end = page.find(close, at + len(begin))
+                end = end + 3 if end >= 0 else size
+        if end < 0 and (m := _NAME.match(page, at)):
+            if (stop := scan.end(m.end())) >= 0:
+                end, tag, closing, attrs = stop + 1, m[2].lower(), bool(m[1]), page[m.end() : stop]
+                if tag in _RAW and not closing:
+                    # its content and closing tag belong to it
+                    after = re.compile(rf"</{tag}\s*+>", re.I).search(page, end)
+                    end, tag = after.end() if after else size, ""
+        if end < 0 and at < last and page[at + 1] in "!?/":
+            end = page.find(">", at + 2) + 1 or -1
+        if end < 0:
+            at = page.find("<", at + 1)
+            continue
+        out.append((at, end, tag, closing, attrs))
+        at = page.find("<", end)
     return out
 
 
+def _enclosed(spans: dict[int, int], by: dict[int, int]) -> set[int]:
+    """The starts of those spans that lie within one of the others."""
+    found, outer, far, i = set(), sorted(by.items()), -1, 0
+    for a, b in sorted(spans.items()):
+        while i < len(outer) and outer[i][0] < a:
+            far = max(far, outer[i][1])
+            i += 1
+        if b < far:
+            found.add(a)
+    return found
+
+
+def _enclosing(spans: dict[int, int], others: dict[int, int]) -> set[int]:
+    """The starts of those spans that hold one of the others."""
+    found, inner, near = set(), sorted(others.items(), reverse=True), float("inf")
+    i = 0
+    for a, b in sorted(spans.items(), reverse=True):
+        while i < len(inner) and inner[i][0] > a:
+            near = min(near, inner[i][1])
+            i += 1
+        if near < b:
+            found.add(a)
+    return found
+
+
+def _unescaped(text: str) -> str:
+    # numbers of more digits than a character can have
+    def short(m: re.Match) -> str:
+        digits = m[1].lstrip("0")
+        return f"&#{digits or 0};" if len(digits) < 8 else "\ufffd"
+
+    return html.unescape(_NUMBER.sub(short, text))
+
+
 def _spans(tags: list, opens: list[int]) -> dict[int, int]:
     """For the openings asked for, the index of the closing tag; those never closed are left out."""
     wanted, stacks, found = set(opens), {}, {}
@@ -98,26 +187,23 @@ def _spans(tags: list, opens: list[int]) -> dict[int, int]:
     return found
 
 
-def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+def lines_of(page: str, names: re.Pattern = _NAMED) -> list[tuple[str, int, int, bool]]:
     """Lines of (text, length without links, length of links, whether the page names it as article).
 
     Furniture has neither text nor lengths.
     """
     tags = _tags(page)
-    furniture = [i for i, t in enumerate(tags) if t[2] and not t[3] and _is_furniture(t[2], t[4])]
+    furniture = [i for i, t in enumerate(tags) if t[2] and not t[3] and _is_furniture(t[2], t[4], names)]
     article = [
         i
         for i, t in enumerate(tags)
         if not t[3] and (t[2] in ("article", "main") or re.search(r"role\s*=\s*[\"']?main\b", t[4]))
     ]
     drop, keep = _spans(tags, furniture), _spans(tags, article)
-    keep = {
-        a: b
-        for a, b in keep.items()
-        if a not in drop
-        and (tags[a][2] != "article" or not any(x < a and b < y for x, y in drop.items()))
-    }
-    drop = {a: b for a, b in drop.items() if not any(a < x and y < b for x, y in keep.items())}
+    inside = _enclosed(keep, drop)
+    keep = {a: b for a, b in keep.items() if a not in drop and (tags[a][2] != "article" or a not in inside)}
+    around = _enclosing(drop, keep)
+    drop = {a: b for a, b in drop.items() if a not in around}
     lines: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
     links = at = 0
@@ -130,7 +216,7 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
     def end_line():
         nonlocal parts, links
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join(_unescaped("".join(parts)).split())
             if text:
                 linked = min(links, len(text))
                 lines.append((text, len(text) - linked, linked, deep > 0))
@@ -173,8 +259,14 @@ def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The kept lines, joined by one space; empty for a null or empty page."""
-    lines = lines_of(page or "")
+    """The kept lines, joined by one space; empty for a null or empty page.
+
+    Where the names of a page leave nothing, only those that tell beyond doubt count.
+    """
+    return _kept(lines_of(page or "")) or _kept(lines_of(page or "", _CERTAIN))
+
+
+def _kept(lines: list[tuple[str, int, int, bool]]) -> str:
     n = len(lines)
     # what the page names as its article weighs more: its links count in part
     weights = [own + NAMED * linked if named else own for _, own, linked, named in lines]
