@@ -65,6 +65,8 @@ class LanguageModel:
         seen = np.flatnonzero(counts > 0)
         c = counts[seen].astype(np.float64)
         n = c.sum()
+        if not n:  # numerals such as ½ pass as letters of the pattern
+            return []
         p = self.probs[:, seen]
         p = p / p.max(axis=0)  # a factor per n-gram: proportions and gains stay as they are
         single = np.log(p) @ c / 3  # an n-gram order each: every letter is seen three times
