@@ -60,7 +60,8 @@ def plan(
     or several; ``taken`` is its size times their number. A document is used again only after all
     of its source were, and a use counts if its middle lies below the target, so that a source
     misses its target by half a document at most. Null texts have size 0. Repeated rows are
-    documents of their own. Reruns agree: the order comes from a hash of the id.
+    documents of their own. Reruns agree: the order comes from a hash of the id, of the text where
+    the id is null. An empty table gives no rows.
     """
     spark = docs.sparkSession
     sized = written(
@@ -68,7 +69,10 @@ def plan(
             "doc_id",
             "source",
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"),
+            # rows without an id are spread by their text
+            F.md5(
+                F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).cast("binary")
+            ).alias("turn"),
             F.xxhash64("text").alias("body"),
         ),
         "sizes",
@@ -165,10 +169,24 @@ def _time(demand: Column) -> Column:
     return F.least(s["t0"] + 2 * need / F.greatest(s["w0"] + root, F.lit(1e-300)), s["t1"])
 
 
+def in_order(planned: DataFrame) -> DataFrame:
+    """The plan with each document's first and last time of use, ``position`` and ``last_position``,
+    range-sorted by the first; documents that are not used have none and come last, spread by a hash."""
+    unused = 2 + F.pmod(F.xxhash64("doc_id", "body"), F.lit(1 << 30)) / float(1 << 30)
+    timed = planned.withColumns(
+        {"position": F.try_element_at("positions", F.lit(1)), "last_position": F.try_element_at("positions", F.lit(-1))}
+    )
+    return timed.orderBy(F.coalesce("position", unused), "doc_id", "body")
+
+
 def mixed(docs: DataFrame, planned: DataFrame) -> DataFrame:
-    """The documents in training order, one row per use, with the columns of ``docs``."""
-    # keys without nulls, so that numbering and join share one shuffle; repeated rows have the
-    # same key and are numbered to meet one to one
+    """The documents in training order, one row per use, with the columns of ``docs``.
+
+    The n-th of equal rows (id, source and text) takes the n-th of their plans. Null ids, texts and
+    sources are values like others; an empty table gives no rows.
+    """
+    # documents and plans share one shuffle by the key; the sorts inside it number them and set
+    # each plan before its document, so that equal rows meet one to one and never all with all
     def key(doc, source):
         return [
             F.coalesce(doc, F.lit(-(2**63))).alias("_id"),
@@ -176,17 +194,24 @@ def mixed(docs: DataFrame, planned: DataFrame) -> DataFrame:
         ]
 
     same = ["_id", "_source", "_body"]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     uses = planned.select(
-        *key(F.col("doc_id"), F.col("source")), F.col("body").alias("_body"), F.col("positions").alias("_positions")
-    ).withColumn("_m", F.row_number().over(Window.partitionBy(*same).orderBy("_positions")))
-    base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         *key(F.col("doc_id"), F.col("source")),
-        F.xxhash64("text").alias("_body"),
-    ).withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy("_id")))
+        F.col("body").alias("_body"),
+        F.lit(0).alias("_kind"),
+        F.col("positions").alias("_positions"),
+    )
+    base = docs.select(
+        *key(F.col("doc_id"), F.col("source")), F.xxhash64("text").alias("_body"), F.lit(1).alias("_kind"), row
+    )
+    number = F.row_number().over(Window.partitionBy(*same, "_kind").orderBy("_positions"))
+    plan_of = F.lag("_positions").over(Window.partitionBy(*same, "_n").orderBy("_kind"))
     return (
-        base.join(uses, same)
-        .filter("_n - _m = 0")
+        base.unionByName(uses, allowMissingColumns=True)
+        .repartition(*same)
+        .withColumn("_n", number)
+        .withColumn("_positions", plan_of)
+        .filter("_kind = 1")
         .withColumn("_position", F.explode("_positions"))
         .orderBy("_position", "_id", "_body")
         .select("_row.*")

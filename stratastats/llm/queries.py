@@ -139,7 +139,9 @@ with d as (
 ),
 s as (
   select source, sum(size)::bigint as source_size,
-         [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight
+         [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight,
+         -- the share at the start; it falls or rises evenly to 2 less this at the end
+         case when row_number() over (order by source nulls last) % 2 = 0 then 0.5::double else 1.5::double end as w0
   from d group by source
 ),
 o as (
@@ -157,25 +159,35 @@ cut as (
   order by source_size / weight, source nulls last limit 1
 ),
 t as (
-  select source, source_size, case when rate * weight > cap then cap else rate * weight end as target
+  select source, source_size, w0, case when rate * weight > cap then cap else rate * weight end as target
   from o, cut
 ),
 run as (
-  select d.doc_id, d.size, t.source_size, t.target,
-         sum(d.size) over (partition by d.source order by hash_key, d.doc_id) - d.size as ahead
+  select d.doc_id, d.size, t.source_size, t.target, t.w0,
+         sum(d.size) over (partition by d.source order by hash_key, d.doc_id) - d.size + size / 2.0::double as middle
   from d join t on d.source is not distinct from t.source
+),
+used as (
+  select *, (middle < target)::int + (source_size + middle < target)::int as uses from run
+),
+demand as (
+  select *, middle / target as d1, ((uses - 1) * source_size + middle) / target as d2 from used
 )
-select doc_id, size, source_size, target,
-       (size * ((ahead + size / 2.0::double < target)::int
-                + (source_size + ahead + size / 2.0::double < target)::int))::bigint as taken
-from run
+select doc_id, size, source_size, target, (size * uses)::bigint as taken,
+       case when uses > 0 then round(least(2 * d1 / (w0 + sqrt(w0 * w0 + 4 * (1 - w0) * d1)), 1.0::double), 9) end as position,
+       case when uses > 0 then round(least(2 * d2 / (w0 + sqrt(w0 * w0 + 4 * (1 - w0) * d2)), 1.0::double), 9) end
+         as last_position
+from demand
 """
 
 
 @_query("op8_curriculum", _OP8)
 def op8_curriculum(spark: SparkSession, folder: str) -> DataFrame:
     planned = curriculum.plan(table(spark, folder, "documents"), weight_of, volume=1.5, most=2.0)
-    return planned.select("doc_id", "size", "source_size", "target", "taken")
+    return curriculum.in_order(planned).select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.round("position", 9).alias("position"), F.round("last_position", 9).alias("last_position"),
+    )
 
 
 @_query("op9_token_store")
