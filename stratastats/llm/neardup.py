@@ -434,6 +434,22 @@ def components(
     )
 
 
+def kept_rows(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns: those kept in ``found``, the result of
+    :func:`components`. Of rows that repeat an id one stays; rows without an id all stay."""
+    kept = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col(f"`{id_col}`").alias("_doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("_body"))
+    first = Window.partitionBy("_doc").orderBy("_body")
+    one = (
+        rows.filter("_doc is not null")
+        .join(kept, F.col("_doc") == F.col("_id"))
+        .withColumn("_n", F.row_number().over(first))
+        .filter("_n = 1")
+    )
+    return one.select("_row.*").unionByName(rows.filter("_doc is null").select("_row.*"))
+
+
 def _crowded(keyed: DataFrame) -> DataFrame:
     """Rows (key, rep, n) of the keys that several documents share, written once."""
     keyed = written(keyed.select("key", "rep", "n"), "keys")

@@ -251,12 +251,13 @@ def loaded(path: str) -> Pieces:
 
 
 def encode(
-    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False
 ) -> DataFrame:
     """(doc_id, ids) for every row: begin id, the text's ids, end id.
 
-    A null text is an empty one: begin and end only. Very long texts are worked off stretch by
-    stretch. Null and repeated ids are kept as they are.
+    ``check`` decodes the ids again and adds decoded_sha256, the digest of that text. A null text is
+    an empty one: begin and end only. Very long texts are worked off stretch by stretch. Null and
+    repeated ids are kept as they are.
     """
 
     def run(batches):
@@ -268,12 +269,15 @@ def encode(
                 raw = [first + p.encode(t or "") + last for t in batch["text"].to_pylist()]
                 ends = np.cumsum([0] + [len(x) // 4 for x in raw]).astype(np.int32)
                 ids = pa.array(np.frombuffer(b"".join(raw), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"], pa.ListArray.from_arrays(pa.array(ends), ids)],
-                    names=["doc_id", "ids"],
-                )
-
-    return pick(docs, id=id_col, text=text_col).mapInArrow(run, "doc_id bigint, ids array<int>")
+                columns = [batch["id"], pa.ListArray.from_arrays(pa.array(ends), ids)]
+                if check:
+                    decoded = (p.decode(array("I", x)).encode() for x in raw)
+                    columns.append(pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = "doc_id bigint, ids array<int>" + ", decoded_sha256 string" * check
+    names = ["doc_id", "ids"] + ["decoded_sha256"] * check
+    return pick(docs, id=id_col, text=text_col).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
