@@ -7,28 +7,26 @@ DataFrame; all but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratastats.llm import curriculum, language, lines, neardup, pieces
 from stratastats.llm.queries import PIECE_MODEL, weight_of
 from stratastats.sources import written
 
-MIN_LANGUAGE_SCORE = 0.5
-
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus itself teaches; those without letters, and those
-    whose main language is not clear, go."""
+    """Documents in a language that the corpus itself teaches; those without a letter go."""
     model = language.train(docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     found = language.with_language(docs.select(row, "text"), model)
-    return found.filter(
-        (F.col("lang_pred") != language.NONE) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    ).select("_row.*")
+    return found.filter(F.col("lang_pred") != language.NONE).select("_row.*")
 
 
 def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that five documents or more share stay in the last of them only."""
+    """Lines that five documents or more share stay in the last of them only.
+
+    Null and empty texts stay as they are; an empty table gives none.
+    """
     return lines.cleaned(docs, lines.keep_bitmaps(docs))
 
 
@@ -37,32 +35,23 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Of rows that repeat an id one stays; rows without an id all stay.
     """
-    kept = (
-        neardup.components(docs)
-        .groupBy("doc_id")
-        .agg(F.min("kept").alias("_kept"))
-        .select(F.col("doc_id").alias("_id"), "_kept")
-    )
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    first = Window.partitionBy("_doc").orderBy(F.xxhash64("_row.text"))
-    return (
-        docs.select(row, F.col("doc_id").alias("_doc"))
-        .join(kept, F.col("_doc") == F.col("_id"), "left")
-        .filter(F.coalesce("_kept", F.lit(True)))
-        .withColumn("_n", F.row_number().over(first))
-        .filter("_n = 1 or _doc is null")
-        .select("_row.*")
-    )
+    return neardup.kept_rows(docs, neardup.components(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in training order; a document that is used twice comes twice."""
+    """The mix in training order; a document that is used twice comes twice.
+
+    Texts without a word have no size and are used as long as their source's target allows.
+    """
     return curriculum.mixed(docs, curriculum.plan(docs, weight_of, volume=1.5, most=2.0))
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Begin id, piece ids and end id of every document of the mix."""
-    return pieces.encode(docs, public_tokenizers.path(PIECE_MODEL))
+    """Piece ids of every document of the mix, and the digest of the text that they decode to.
+
+    A null text is an empty one; equal rows stay.
+    """
+    return pieces.encode(docs, public_tokenizers.path(PIECE_MODEL), check=True)
 
 
 STAGES = [
