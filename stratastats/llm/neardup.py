@@ -10,8 +10,8 @@ meets one centre, then a few others, which joins most groups of copies. Small bu
 hold several components are compared document by document. In larger ones with few components two
 documents per component are tried (others in each of the tables), which only spares work. Every
 larger bucket that holds several components then is set against one pivot of its largest component:
-two documents that are linked share a shingle outside the pivot, which makes new buckets, or have
-sizes that few have, and those pairs are compared. Buckets that are still crowded after some such
+two documents that are linked share a shingle outside the pivot, one of the rarest there of each, which
+makes new buckets, or have sizes that few have, and those pairs are compared. Buckets that are still crowded after some such
 rounds are compared pair by pair across components; no pair that shares a table is left out. Components come from
 alternating large and small stars; later links only walk the graph of the components so far.
 """
@@ -240,16 +240,18 @@ def components(
             outer = np.setdiff1d(a, b, assume_unique=True)
             n, both = len(a), len(a) - len(outer)
             # a link covers ``percent`` of the set, so so many of its shingles lie outside the
-            # pivot; one of the first others is then among them
+            # pivot; one of the others, the ``first``, is then among them in any order
             least = max(1, -(-percent * n // 100) - both)
-            outer = outer[: max(0, len(outer) - least + 1)].view(np.int64).tolist()
+            first = max(0, len(outer) - least + 1)
+            outer = outer.view(np.int64).tolist() if first else []
             longest = both * (100 + percent) // percent - n
-            yield core, rep, label, pivot, n, longest, 100 * both >= percent * (n + len(b) - both), outer
+            yield core, rep, label, pivot, n, longest, 100 * both >= percent * (n + len(b) - both), first, outer
 
     def against_pivots(crowd: DataFrame) -> DataFrame:
         """Each (core, rep, label) beside one document of its core, the pivot: whether they are
         ``close``, the size of the ``longest`` set that can be linked with this one without
-        a common shingle outside the pivot, and the shingles ``outer`` to look for otherwise."""
+        a common shingle outside the pivot, and the shingles ``outer`` of it, of which the ``first``
+        many in an order of the core's are to look for otherwise."""
         crowd = written(crowd, "crowd")
         first = crowd.filter("label = core").groupBy("core").agg(F.min("rep").alias("pivot"))
         pivots = written(
@@ -263,7 +265,7 @@ def components(
             .select("core", "rep", "label", "pivot", "x", "c"),
             place,
             "core bigint, rep bigint, label bigint, pivot bigint, n bigint, longest bigint,"
-            " close boolean, outer array<bigint>",
+            " close boolean, first bigint, outer array<bigint>",
         )
         return written(placed, "placed")
 
@@ -319,6 +321,10 @@ def components(
         met = rows.join(other, "key").filter("rep > v and label <> label_")
         return met.filter(f"n is null or {close}").filter(also).select(F.col("rep").alias("u"), "v")
 
+    def same_docs(rep: str):
+        """Two sums that tell which documents a bucket holds, repeated ones included."""
+        return [F.sum(F.shiftright(F.xxhash64(rep, F.lit(i)), 28)).alias(f"h{i}") for i in range(2)]
+
     def linked_by(pairs: DataFrame) -> DataFrame:
         """The labels after those of the pairs (u, v) that were not tested before."""
         nonlocal tested
@@ -344,16 +350,21 @@ def components(
         of_key = Window.partitionBy("key")
         groups = written(
             marked.groupBy("key", "label")
-            .agg(F.count("*").alias("own"), F.min(turned).alias("lo"), F.max(turned).alias("hi"))
+            .agg(F.count("*").alias("own"), F.min(turned).alias("lo"), F.max(turned).alias("hi"), *same_docs("rep"))
             .withColumns(
-                {"size": F.sum("own").over(of_key), "parts": F.count("*").over(of_key)}
+                {
+                    "size": F.sum("own").over(of_key),
+                    "parts": F.count("*").over(of_key),
+                    "s0": F.sum("h0").over(of_key),
+                    "s1": F.sum("h1").over(of_key),
+                }
             )
             .filter("parts > 1"),
             "groups",
         )
-        few = marked.join(
-            groups.filter(F.col("size") <= SMALL).select("key").distinct(), "key"
-        ).select("key", "rep", "n", "label")
+        # of small buckets with the same documents one does for all
+        small = groups.filter(F.col("size") <= SMALL).groupBy("size", "s0", "s1").agg(F.min("key").alias("key"))
+        few = marked.join(small.select("key"), "key").select("key", "rep", "n", "label")
         many = (
             groups.filter((F.col("size") > SMALL) & (F.col("parts") <= SMALL // 2))
             .select("key", "label", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("rep"))
@@ -385,10 +396,9 @@ def components(
         crowd = left.join(cores, "key")
         if depth == SPLITS:
             # what is still crowded is compared pair by pair, buckets of the same documents once
-            of_rep = F.xxhash64("rep"), F.xxhash64("rep", F.lit(1))
             once = (
                 crowd.groupBy("key")
-                .agg(F.count("*").alias("c"), *[F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(of_rep)])
+                .agg(F.count("*").alias("c"), *same_docs("rep"))
                 .groupBy("c", "h0", "h1")
                 .agg(F.min("key").alias("key"))
                 .select("key")
@@ -412,11 +422,13 @@ def components(
             "inside",
         )
         labels = linked_by(across(inside, "n <= longest_ and m <= longest"))
-        # all others share a shingle outside it
-        outside = placed.select("core", "rep", "n", F.explode("outer").alias("shingle")).select(
-            F.xxhash64("core", "shingle").alias("key"), "rep", "n"
-        )
-        members = _crowded(outside)
+        # all others share a shingle outside it: one of the rarest of each, by their number in the core
+        outside = placed.select("core", "rep", "n", "first", F.size("outer").alias("own"), F.explode("outer").alias("shingle"))
+        often = outside.groupBy("core", "shingle").agg(F.count("*").alias("c")).filter("c > 1")
+        of_rep = Window.partitionBy("core", "rep")
+        rank = F.row_number().over(of_rep.orderBy("c", "shingle")) + F.col("own") - F.count("*").over(of_rep)
+        rarest = outside.join(often, ["core", "shingle"]).withColumn("rank", rank).filter("rank <= first")
+        members = _crowded(rarest.select(F.xxhash64("core", "shingle").alias("key"), "rep", "n"))
 
     result = own.join(labels, F.col("rep") == F.col("node"), "left").select(
         "doc", F.coalesce("label", "rep").alias("component")
