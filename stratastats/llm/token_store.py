@@ -19,6 +19,8 @@ from functools import reduce
 from operator import or_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -29,8 +31,8 @@ from .common import pick, stream_rows
 SHARD_TOKENS = 1 << 20  # a shard is closed at this many tokens
 SHARD_DOCS = 8192  # or this many documents
 PART_CHARS = 16 << 20  # text of one writing task, about
-SLICE_CHARS = 1 << 20  # text that is encoded at a time, about
-KEPT = 400_000  # encoded stretches that a worker keeps, twice
+SLICE_CHARS = 4 << 20  # text that is encoded at a time, about
+KEPT = 600_000  # encoded stretches that a worker keeps, twice
 
 SCHEMA = (
     "part int, seq int, n_docs int, n_tokens bigint, width int, first_key bigint, last_key bigint, "
@@ -40,20 +42,33 @@ SCHEMA = (
 
 # The white space of Unicode, at which byte-level pre-tokenising splits
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = "".join(re.findall(f"[{_SPACE}]", "".join(map(chr, range(0x3001)))))
 _STRETCH = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# A word of Latin letters, what stands before it, and the ASCII marks after it (no apostrophe, which
+# may begin a contraction): these are pre-tokens of their own
+_WORD = re.compile(
+    r"( ?|\n\n?)([A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02c1]+)([!-&(-/:-@\[-`{-~]*)"
+)
+
+
+def _stretch(key: str) -> str:
+    """The text of a key: a space and the key, or the key if a line end begins it, or what follows its space."""
+    return key[1:] if key[:1] == " " else key if key[:1] == "\n" else " " + key
 
 
 class Encoder:
     """A tokenizer file of the tokenizers library.
 
     With plain byte-level pre-tokenising, no token crosses from a character into the white space
-    after it, so a text is encoded in stretches, of which the frequent ones are remembered.
+    after it, so a text is encoded in stretches, of which the frequent ones are remembered. In a
+    stretch that is not remembered the word and the marks around it are looked up on their own; as
+    pre-tokens by themselves they go to the tokenizer's model without its pattern.
     Other tokenizers, and texts that hold one of the added tokens, are encoded as a whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         spec = json.loads(self.model.to_str())
@@ -70,41 +85,115 @@ class Encoder:
         self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        if self.by_stretch:
+            self.single = Tokenizer(self.model.model)  # for one pre-token at a time
+            self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.line_end = self._whole(["\n"])[0]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+    def _whole(self, texts: list[str], model=None) -> list[bytes]:
+        found = (model or self.model).encode_batch_fast(texts, add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def _new(self, keys: dict[str, None]) -> dict[str, bytes]:
+        """The ids of keys that are not known, and of the words and marks in them."""
+        known, before = self.known, self.before
+        new, others, single, rest, parts = {}, [], {}, [], []
+        for key in keys:
+            ids = before.get(key)
+            if ids is not None:
+                new[key] = ids
+                continue
+            match = _WORD.fullmatch(_stretch(key))
+            if match is None:
+                others.append(key)
+                continue
+            lead, word, marks = match.groups()
+            if lead != " ":
+                word = " " + word
+            if word == key:
+                single[key] = None
+                continue
+            rest.append(key)
+            parts.append((b"" if lead == " " else self.line_end * len(lead), word, " " + marks))
+        for _, *both in parts:
+            for part in both:
+                if part not in single and part not in new:
+                    ids = known.get(part) or before.get(part)
+                    if ids is None:
+                        single[part] = None
+                    else:
+                        new[part] = ids
+        if single:
+            new.update(zip(single, self._whole(list(map(_stretch, single)), self.single)))
+        if others:
+            new.update(zip(others, self._whole(list(map(_stretch, others)))))
+        for key, (lines, word, marks) in zip(rest, parts):
+            new[key] = lines + new[word] + new[marks]
+        return new
+
+    def _known(self, keys: list[str]) -> list[bytes]:
+        """The ids of each key; those that are new go to the tokenizer together."""
+        found = list(map(self.known.get, keys))
+        if None in found:
+            new = self._new(dict.fromkeys(k for k, ids in zip(keys, found) if ids is None))
+            found = [new[k] if ids is None else ids for k, ids in zip(keys, found)]
+            if len(self.known) >= KEPT:
+                self.before, self.known = self.known, {}
+            self.known.update((k, ids) for k, ids in new.items() if len(k) <= 64)
+        return found
+
+    def _joined(self, cut: pa.ListArray) -> list[bytes]:
+        """The ids of each list of keys, one after another; a key is looked up once."""
+        indexed = cut.values.dictionary_encode()
+        ids = pa.array(self._known(indexed.dictionary.to_pylist()), pa.large_binary())
+        ids = ids.take(indexed.indices)
+        data = ids.buffers()[2]
+        at = np.frombuffer(ids.buffers()[1], np.int64)[cut.offsets.to_numpy()]
+        data = data.to_pybytes() if data else b""
+        return [data[i:j] for i, j in zip(at.tolist(), at[1:].tolist())]
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; the stretches that are new go to the tokenizer in one call."""
+        """The ids of each text.
+
+        Texts are cut before spaces and line ends. That is right where a character stands before the
+        cut, or nothing but one space after it; texts in which it is not are cut by pattern.
+        """
         out: list[bytes] = [b""] * len(texts)
-        whole, cut = [], []
+        whole, mixed, plain, lines, ends = [], [], [], [], []
         for i, text in enumerate(texts):
             if not self.by_stretch or any(a in text for a in self.added):
                 whole.append(i)
             elif text:
-                stretches = _STRETCH.findall(text)
-                cut.append((i, stretches, list(map(self.known.get, stretches))))
+                body = text.rstrip(_SPACES)
+                if not body or body[0] in _SPACES:
+                    mixed.append(i)
+                    continue
+                # a line end more at the start, which is taken off again
+                line = ("\n" + body).replace("\n", " \n")
+                plain.append(i)
+                lines.append((line.replace(" \n \n", " \n\n") if "\n\n" in body else line)[1:])
+                ends.append(text[len(body) :])
         if whole:
             for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
                 out[i] = ids
-        missing = dict.fromkeys(
-            s for _, stretches, found in cut if None in found for s, ids in zip(stretches, found) if ids is None
-        )
-        new = {s: self.before[s] for s in missing if s in self.before}
-        fresh = [s for s in missing if s not in new]
-        if fresh:
-            new.update(zip(fresh, self._whole(fresh)))
-        for i, stretches, found in cut:
-            if None in found:
-                found = [new[s] if ids is None else ids for s, ids in zip(stretches, found)]
-            out[i] = b"".join(found)
-        if len(self.known) >= KEPT:
-            self.before, self.known = self.known, {}
-        self.known.update((s, ids) for s, ids in new.items() if len(s) <= 64)
+        if plain:
+            cut = pa.array(lines, pa.large_string())
+            amid = pc.match_substring_regex(cut, f"[{_SPACES}] ").to_pylist()
+            if any(amid):
+                mixed += [i for i, a in zip(plain, amid) if a]
+                plain, ends = ([x for x, a in zip(of, amid) if not a] for of in (plain, ends))
+                cut = cut.filter(pc.invert(pa.array(amid)))
+            skip = len(self.line_end)
+            after = self._known([" " + e for e in ends])
+            for i, ids, end in zip(plain, self._joined(pc.split_pattern(cut, " ")), after):
+                out[i] = ids[skip:] + end
+        if mixed:
+            keys = [[" " + s for s in _STRETCH.findall(texts[i])] for i in mixed]
+            for i, ids in zip(mixed, self._joined(pa.array(keys, pa.list_(pa.large_string())))):
+                out[i] = ids
         return out
 
 

@@ -359,6 +359,29 @@ def test_mix_of_many_equal_rows(spark):
     assert "Join" not in mix._jdf.queryExecution().optimizedPlan().toString().split("Window")[0]
 
 
+def test_encoder_knows_words_by_themselves():
+    """A word comes to the tokenizer once, whatever marks and line ends stand around it."""
+    model, sent = token_store.Encoder(BYTE), []
+    whole = model._whole
+    model._whole = lambda texts, *a: sent.extend(texts) or whole(texts, *a)
+    words = ["thonre", "anblewh", "éêlle", "Zukeit", "ofou"]
+    marks = ["", ",", ".", "!!", ";", ":", ")", "?", "...", "-", "###", "|"]
+    texts = [f"{b}{w}{m}" for w in words for m in marks for b in ("x ", "x\n", "x\n\n")]
+    want = [array("H", e.ids).tobytes() for e in model.model.encode_batch(texts, add_special_tokens=False)]
+    assert model.encode_all(texts) == want
+    assert len(sent) <= 2 * len(words) + len(marks) + 5
+
+
+def test_encoder_cuts_at_any_white_space():
+    parts = ["ab", "Cd", "é", "9", "'s", "don't", ".", ",,", "\n", "\n\n", " ", "  ", "\t", "\r\n", "\x85", "\u3000", "\x1c", "日", "<|endoftext|>"]
+    picks = np.random.default_rng(3).integers(0, len(parts), (3000, 7))
+    texts = ["".join(parts[i] for i in row) for row in picks]
+    model = token_store.Encoder(BYTE)
+    want = [array("H", e.ids).tobytes() for e in model.model.encode_batch(texts, add_special_tokens=False)]
+    assert model.encode_all(texts) == want
+    assert model.encode_all(texts) == want  # from memory
+
+
 def test_token_store(spark, tmp_path):
     from tokenizers import Tokenizer
 
