@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pick, stream_rows
+from .common import SLICE_ROWS, pick, stream_rows
 
 IDF_MIN, IDF_MAX = 1.0, 7.0
 SUBSETS = 32  # random lexicon subsets on each level
@@ -29,23 +32,32 @@ USED = 3  # levels in a fingerprint
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _NOTHING = "0" * 16
 COUNTED = 400_000  # terms that a task counts before it passes them on
+KEPT = 500_000  # words whose hashes a worker keeps, twice
 _NUMBERS: dict[str, int] = {}
+_BEFORE: dict[str, int] = {}
+
+
+def _number(word: str) -> int:
+    """The hash of a word without the punctuation around it; 0 if nothing is left."""
+    term = word if word.isalpha() else _EDGES.sub("", word)
+    return xxhash.xxh32_intdigest(term.encode("utf-8", "surrogatepass")) | 1 if term else 0
 
 
 def terms(text: str) -> set[int]:
     """Distinct terms as 32-bit hashes: words in lower case without punctuation around them."""
+    global _NUMBERS, _BEFORE
     words = set(text.lower().split())
     found = set(map(_NUMBERS.get, words))
     if None in found:
-        if len(_NUMBERS) > 500_000:
-            _NUMBERS.clear()
-        for w in words:
-            if w not in _NUMBERS:
-                term = _EDGES.sub("", w)
-                _NUMBERS[w] = (
-                    xxhash.xxh32_intdigest(term.encode("utf-8", "surrogatepass")) | 1 if term else 0
-                )
-        found = set(map(_NUMBERS.__getitem__, words))
+        new = {}
+        for w in words.difference(_NUMBERS):
+            number = _BEFORE.get(w)
+            new[w] = _number(w) if number is None else number
+        if len(_NUMBERS) > KEPT:
+            _NUMBERS, _BEFORE = {}, _NUMBERS
+        _NUMBERS.update(new)
+        found.discard(None)
+        found.update(new.values())
     found.discard(0)
     return found
 
@@ -73,6 +85,8 @@ class Lexicon:
 
 
 _RANDOM = np.random.default_rng(20011)
+_LIMITS = np.array([min(2**32 - 1, 2**32 >> deep) for deep in range(32 + USED)], np.uint32)
+_GROUPS = np.arange(USED * SUBSETS + 1)
 _SALTS = _RANDOM.integers(0, 2**31, SUBSETS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
@@ -89,15 +103,23 @@ def _subset_hashes(own: np.ndarray, level: int) -> list[str]:
     value = own * np.uint32(0x9E3779B1)
     value ^= value >> np.uint32(16)
     value *= np.uint32(0x85EBCA77)
-    out = []
-    for deep in range(level, level + USED):
-        member = x < np.uint32(min(2**32 - 1, 2 ** (32 - deep)))
-        total = np.where(member, value[None, :], np.uint32(0)).cumsum(axis=1, dtype=np.uint32)
-        total = np.where(member, total * np.uint32(0x27D4EB2F), np.uint32(0)).sum(axis=1, dtype=np.uint32)
-        short = np.maximum(total >> np.uint32(16), np.uint32(1)).astype(">u2")
-        short[~member.any(axis=1)] = 0
-        out.append(short.tobytes().hex())
-    return out
+    # members on the first level are a term or two per subset, however long the text; the others are among them
+    x = x.ravel()
+    first = (x < _LIMITS[level]).nonzero()[0]
+    subset, term = np.divmod(first, len(own))
+    deep, member = (x[first] < _LIMITS[level : level + USED, None]).nonzero()
+    group = deep * SUBSETS + subset[member]
+    value = value[term[member]]
+    bounds = group.searchsorted(_GROUPS)
+    starts, ends = bounds[:-1], bounds[1:]
+    upto = value.cumsum(dtype=np.uint32)
+    mixed = (upto - (upto - value)[starts[group]]) * np.uint32(0x27D4EB2F)
+    total = np.zeros(len(group) + 1, np.uint32)
+    mixed.cumsum(dtype=np.uint32, out=total[1:])
+    short = np.maximum((total[ends] - total[starts]) >> np.uint32(16), np.uint32(1)).astype(">u2")
+    short[starts == ends] = 0
+    found = short.tobytes().hex()
+    return [found[i : i + 4 * SUBSETS] for i in range(0, len(found), 4 * SUBSETS)]
 
 
 def likeness(a: str | None, b: str | None) -> float:
@@ -132,21 +154,28 @@ def lexicon(
 ) -> Lexicon:
     """Document frequencies over all rows; the terms with ``idf_min <= ln(N/df) <= idf_max``."""
 
-    def count(rows):
-        sums: dict[str, int] = {}
-        for (text,) in rows:
-            for t in terms(text):
-                sums[t] = sums.get(t, 0) + 1
-            if len(sums) >= COUNTED:
-                yield from ((t - 2**31, n) for t, n in sums.items())
-                sums = {}
-        yield from ((t - 2**31, n) for t, n in sums.items())
+    def packed(sums: Counter) -> pa.RecordBatch:
+        found = np.fromiter(sums.keys(), np.int64, len(sums)) - 2**31
+        n = np.fromiter(sums.values(), np.int32, len(sums))
+        return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n)], ["term", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: Counter = Counter()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                for text in batch.column(0).slice(at, SLICE_ROWS).to_pylist():
+                    sums.update(terms(text))
+                    if len(sums) >= COUNTED:
+                        yield packed(sums)
+                        sums = Counter()
+        if sums:
+            yield packed(sums)
 
     rows = pick(docs, text=text_col)
     n = rows.count()
     if not n:
         return Lexicon(np.empty(0, np.uint32))
-    counted = stream_rows(rows.filter("text is not null"), count, "term int, n int", 65536)
+    counted = rows.filter("text is not null").mapInArrow(count, "term int, n int")
     idf = F.log(F.lit(float(n)) / F.col("df"))
     band = (
         counted.groupBy("term")

@@ -382,6 +382,45 @@ def test_encoder_cuts_at_any_white_space():
     assert model.encode_all(texts) == want  # from memory
 
 
+def test_fingerprint_words_outlast_a_full_memory(monkeypatch):
+    """Words met last are not hashed again when a worker's memory of words is full."""
+    hashed, digest = [], imatch.xxhash.xxh32_intdigest
+    monkeypatch.setattr(imatch.xxhash, "xxh32_intdigest", lambda x: hashed.append(x) or digest(x))
+    texts = [" ".join(f"w{i}q" for i in range(j, j + 50_001)) for j in range(0, 550_000, 50_001)]
+    first = [imatch.terms(t) for t in texts]
+    imatch.terms("one more")
+    hashed.clear()
+    assert imatch.terms(texts[-1]) == first[-1]
+    assert imatch.terms(texts[0]) == first[0]
+    assert not hashed
+
+
+def test_subset_hashes_match_a_plain_loop():
+    def plain(own, level):
+        out = []
+        for deep in range(level, level + imatch.USED):
+            shorts = []
+            for salt in imatch._SALTS.tolist():
+                upto = total = any_ = 0
+                for t in own.tolist():
+                    x = t * salt % 2**32
+                    x = (x ^ x >> 15) * 0x2C1B3C6D % 2**32
+                    x ^= x >> 13
+                    v = t * 0x9E3779B1 % 2**32
+                    v = (v ^ v >> 16) * 0x85EBCA77 % 2**32
+                    if x < min(2**32 - 1, 2 ** (32 - deep)):
+                        any_, upto = 1, (upto + v) % 2**32
+                        total = (total + upto * 0x27D4EB2F) % 2**32
+                shorts.append(f"{max(total >> 16, 1) if any_ else 0:04x}")
+            out.append("".join(shorts))
+        return out
+
+    random = np.random.default_rng(5)
+    for n, level in ((1, 0), (1, 9), (2, 0), (7, 2), (60, 5), (300, 8), (40, 0)):
+        own = np.unique(random.integers(0, 2**32, n, dtype=np.uint32))
+        assert imatch._subset_hashes(own, level) == plain(own, level)
+
+
 def test_token_store(spark, tmp_path):
     from tokenizers import Tokenizer
 
